@@ -1,0 +1,6 @@
+"""Every operator as a query over the driver's tables."""
+
+from . import balancing, decisions, features, joins  # noqa: F401
+from .registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
