@@ -104,6 +104,10 @@ def event_intervals(lines: DataFrame, strict: bool = False) -> DataFrame:
     marks = parse_markers(lines)
     usable = F.coalesce("new_ip", "ip").isNotNull()
     opens = F.col("opens") if strict else F.col("opens") & usable
+    if isinstance(lines.schema["line_no"].dataType, T.StructType):
+        part = F.struct("line_no.file", "line_no.block")
+    else:
+        part = F.floor(F.col("line_no") / 10_000)
     paired = pair_markers(
         marks.withColumn("usable", usable.cast("int")),
         is_start=opens,
@@ -112,7 +116,7 @@ def event_intervals(lines: DataFrame, strict: bool = False) -> DataFrame:
         order="line_no",
         by=["type"],
         carry=["device", "old_ip", "new_ip", "ip", "usable"],
-        slice_by=F.floor(F.col("line_no") / 10_000),
+        slice_by=part,
     )
     return paired.where("usable = 1").select("type", "device", "old_ip", "new_ip", "ip", "start", "end")
 

@@ -174,14 +174,21 @@ def read_flow_folder(
 
 
 def read_marker_lines(spark: SparkSession, path: str) -> DataFrame:
-    """SRC6: `line_no, line` of an event-marker file, in file order.
+    """SRC6: `line_no, line` of an event-marker file (or a folder of them in name order).
 
-    Line numbers need the file in one piece; it is a log of test actions, a few lines a day.
+    A large file is read in splits. File, split offset and position within the read order the
+    lines as they stand in the file, so no task has to see the whole of it.
     """
     if not _exists(spark, path):
-        return spark.createDataFrame([], "line_no int, line string")
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+        return spark.createDataFrame([], "line_no struct<file: string, block: bigint, row: bigint>, line string")
+    return spark.read.text(path).select(
+        F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+        ).alias("line_no"),
+        F.col("value").alias("line"),
+    )
 
 
 def read_connection_log(spark: SparkSession, path: str) -> DataFrame:
