@@ -141,7 +141,7 @@ def flow_side_features(
     icmp: str = "ICMP",
     broadcast: Column | None = None,
     small_bytes: float = 100,
-    gap_slices: int = 64,
+    gap_slices: int = 16,
 ) -> DataFrame:
     """AGG6-AGG10, WIN3: the features of each device, window and side.
 

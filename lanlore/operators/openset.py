@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import array_literal, distance, scale
+from ..session import cut_lineage
 from .running import percentiles
 
 
@@ -27,6 +28,7 @@ def confidence_of(probabilities: Column) -> Column:
 def calibrate(df: DataFrame, columns: Sequence[str], share: float = 0.95) -> dict[str, float | None]:
     """MOD19: the 95th percentile of each score on a named calibration table, kept with the model."""
     out = {}
+    df = cut_lineage(df.select(*columns))
     for name in columns:
         row = percentiles(df, name, [share]).first()
         out[name] = row["percentiles"][0] if row and row["percentiles"] else None

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 SLICE_BITS = 8
 HASH_SLICES = 1024
 
@@ -128,9 +130,10 @@ def percentiles(df: DataFrame, value: str, probabilities: Sequence[float], by: S
     """Exact linear-interpolation percentiles, one array column `percentiles` per `by`.
 
     ``percentile()`` keeps every distinct value of a group in one buffer; this counts
-    distinct values with partial aggregation and ranks them slice by slice instead.
+    distinct values with partial aggregation and ranks them slice by slice instead. The
+    counts are written once, since what they are counted from may be a model's scores.
     """
-    counts = (
+    counts = cut_lineage(
         df.where(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).cast("double").alias("_x"))
         .agg(F.count(F.lit(1)).alias("_n"))
