@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .knn import nearest
 from .running import ranked
-from .summary import class_balance, imbalance_ratio
+from .summary import class_balance, imbalance_ratio, per_class
 
 COPIES_PER_TASK_ROW = 4096
 SMALL_MINORITY = 20
@@ -35,11 +35,9 @@ def stratified_split(
 ) -> DataFrame:
     """BAL1: adds `is_test`, true for the first round(n_c * fraction) rows of each class in hash order."""
     numbered = ranked(df, "_rank", by=[label], order=order, keys=[key], seed=seed)
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
-    return (
-        numbered.join(sizes, label)
-        .withColumn("is_test", F.col("_rank") < F.round(F.col("_size") * F.lit(test_fraction)))
-        .select(*df.columns, "is_test")
+    size = per_class(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), label, "n", F.col(label))
+    return numbered.withColumn("_size", size).select(
+        *df.columns, (F.col("_rank") < F.round(F.col("_size") * F.lit(test_fraction))).alias("is_test")
     )
 
 
@@ -89,18 +87,33 @@ def repeated_undersample(
     chunk = F.floor(F.col("_rank") / F.col("_c.size"))
     large = ~minor if all_classes else (F.col(label) == F.col("_c.major")) & ~minor
     if all_classes:
-        sizes = counts.withColumnRenamed("n", "_n")
-        numbered = numbered.join(sizes, label)
+        numbered = numbered.withColumn("_n", per_class(counts, label, "n", F.col(label)))
         inside = chunk < F.floor(F.col("_n") / F.col("_c.size"))
     else:
         inside = chunk < F.col("_c.rounds")
     majority = numbered.where(large & inside).withColumn("round_id", chunk.cast("int")).select(*df.columns, "round_id")
-    minority = numbered.where(minor).withColumn(
-        "round_id", F.explode(F.sequence(F.lit(0), (F.col("_c.rounds") - 1).cast("int")))
-    )
+    few = numbered.where(minor).withColumn("copies", F.col("_c.rounds").cast("bigint")).select(*df.columns, "copies")
+    minority = multiplied(few, [key], "round_id").withColumn("round_id", F.col("round_id").cast("int"))
     return majority.unionByName(minority.select(*df.columns, "round_id"))
 
 
+def multiplied(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """Each row `copies` times, numbered from 0 in `out`.
+
+    One row may owe millions of copies, so they are first dealt out in chunks over the
+    cluster and only then multiplied.
+    """
+    last = F.floor((F.col("copies") - 1) / F.lit(COPIES_PER_TASK_ROW)).cast("bigint")
+    dealt = (
+        df.where("copies > 0")
+        .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+        .repartition(*keys, "_chunk")
+    )
+    first = F.col("_chunk") * COPIES_PER_TASK_ROW
+    upto = F.least(F.col("copies"), first + COPIES_PER_TASK_ROW) - 1
+    return dealt.withColumn(out, F.explode(F.sequence(first, upto))).drop("_chunk")
+
+
 def needed(counts: Mapping[int, int], strategy: str | float | Mapping[int, int] = "auto") -> dict[int, int]:
     """How many rows each class lacks under a sampling strategy.
 
@@ -136,11 +149,7 @@ def _interpolate(
     k: int,
     seed: int,
 ) -> DataFrame:
-    """Synthetic vectors: `seeds` (id, features, copies) moved part-way to a random near member.
-
-    A seed row may owe millions of copies, so they are first dealt out in chunks over the
-    cluster and only then multiplied.
-    """
+    """Synthetic vectors: `seeds` (id, features, copies) moved part-way to a random near member."""
     near = (
         nearest(seeds, members, k)
         .select("id", F.posexplode("neighbors").alias("_p", "_nn"))
@@ -149,16 +158,7 @@ def _interpolate(
         .groupBy("id")
         .agg(F.array_sort(F.collect_list(F.struct("_to", "_vec"))).alias("_near"))
     )
-    last = ((F.col("copies") - 1) / F.lit(COPIES_PER_TASK_ROW)).cast("bigint")
-    dealt = (
-        seeds.where("copies > 0")
-        .join(near, "id")
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-        .repartition("id", "_chunk")
-    )
-    base = F.col("_chunk") * COPIES_PER_TASK_ROW
-    upto = F.least(F.col("copies"), base + COPIES_PER_TASK_ROW) - 1
-    copies = dealt.withColumn("copy", F.explode(F.sequence(base, upto)))
+    copies = multiplied(seeds.join(near, "id"), ["id"], "copy")
     choice = F.pmod(F.xxhash64("id", "copy", F.lit(seed)), F.size("_near"))
     step = _uniform("id", "copy", F.lit(seed + 1))
     return copies.withColumns({"_to": F.get("_near", choice.cast("int"))["_vec"], "_step": step}).select(

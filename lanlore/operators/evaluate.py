@@ -22,27 +22,24 @@ def pr_curve(df: DataFrame, label: str, score: str, positive: int = 1) -> DataFr
     by_score = df.groupBy(F.col(score).cast("double").alias("threshold")).agg(
         F.count_if(hit).alias("_pos"), F.count(F.lit(1)).alias("_n")
     )
-    totals = by_score.agg(F.sum("_pos")).scalar()
     both = running(
         quantile_slice(by_score, "threshold"),
         {"tp": "_pos", "predicted": "_n"},
         order=[F.desc("threshold")],
         slice_descending=True,
+        totals=True,
     )
     precision = F.col("tp") / F.col("predicted")
-    recall = F.coalesce(F.try_divide(F.col("tp"), F.col("_positives")), F.lit(1.0))
-    return (
-        both.withColumn("_positives", totals)
-        .select(
-            "threshold",
-            F.col("_pos").alias("positives_here"),
-            F.col("_n").alias("rows_here"),
-            "tp",
-            "predicted",
-            F.col("_positives").alias("positives"),
-            precision.alias("precision"),
-            recall.alias("recall"),
-        )
+    recall = F.coalesce(F.try_divide(F.col("tp"), F.col("all_tp")), F.lit(1.0))
+    return both.select(
+        "threshold",
+        F.col("_pos").alias("positives_here"),
+        F.col("_n").alias("rows_here"),
+        "tp",
+        "predicted",
+        F.col("all_tp").alias("positives"),
+        precision.alias("precision"),
+        recall.alias("recall"),
     )
 
 

@@ -53,12 +53,14 @@ def running(
     func=F.sum,
     slice_descending: bool = False,
     inclusive: bool = True,
+    totals: bool = False,
 ) -> DataFrame:
     """Running `func` (an associative aggregate: sum, max, min) of each value, in `order`.
 
     `values` maps the new column to what is accumulated. `slice_by` must be monotone in
     `order`; set `slice_descending` when `order` descends. With ``inclusive=False`` the
-    current row is left out, and rows with nothing before them get null.
+    current row is left out, and rows with nothing before them get null. With ``totals=True``
+    each value's whole-group result comes along as `all_<name>`, taken over the slices.
     """
     keys = [*by, slice_by]
     names = list(values)
@@ -72,7 +74,11 @@ def running(
     before = (
         work.groupBy(*keys)
         .agg(*[func(f"_v_{n}").alias(f"_t_{n}") for n in names])
-        .select(*keys, *[func(f"_t_{n}").over(across).alias(f"_before_{n}") for n in names])
+        .select(
+            *keys,
+            *[func(f"_t_{n}").over(across).alias(f"_before_{n}") for n in names],
+            *[func(f"_t_{n}").over(Window.partitionBy(*by)).alias(f"all_{n}") for n in names if totals],
+        )
     )
     joined = work.withColumns({f"_in_{n}": func(f"_v_{n}").over(inside) for n in names}).join(before, keys)
 
@@ -82,7 +88,8 @@ def running(
             return (F.greatest if func is F.max else F.least)(here, earlier)  # both skip nulls
         return F.coalesce(here + earlier, here, earlier)
 
-    return joined.select(*df.columns, *[merged(n).alias(n) for n in names])
+    whole = [f"all_{n}" for n in names] if totals else []
+    return joined.select(*df.columns, *[merged(n).alias(n) for n in names], *whole)
 
 
 def hash_order(keys: Sequence[str | Column], seed: int) -> Column:
@@ -139,9 +146,7 @@ def percentiles(df: DataFrame, value: str, probabilities: Sequence[float], by: S
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     sliced = quantile_slice(counts, "_x")
-    upto = running(sliced, {"_hi": "_n"}, order=["_x"], by=by)
-    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
-    with_total = upto.join(totals, list(by)) if by else upto.withColumn("_all", counts.agg(F.sum("_n")).scalar())
+    upto = running(sliced, {"_hi": "_n"}, order=["_x"], by=by, totals=True).withColumnRenamed("all__hi", "_all")
     picks = []
     for i, p in enumerate(probabilities):
         at = (F.col("_all") - 1) * F.lit(float(p))
@@ -149,7 +154,7 @@ def percentiles(df: DataFrame, value: str, probabilities: Sequence[float], by: S
             holds = (F.col("_hi") - F.col("_n") <= rank) & (rank < F.col("_hi"))
             picks.append(F.max(F.when(holds, F.col("_x"))).alias(f"_{side}{i}"))
     picks.append(F.max("_all").alias("_all"))
-    table = with_total.groupBy(*by).agg(*picks)
+    table = upto.groupBy(*by).agg(*picks)
     values = []
     for i, p in enumerate(probabilities):
         at = (F.col("_all") - 1) * F.lit(float(p))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .running import percentiles
@@ -58,8 +58,18 @@ def class_weights(df: DataFrame, label: str = "label", num_classes: int | None =
     return ids.join(weights, label, "left").na.fill(1.0, ["weight"])
 
 
+def per_class(table: DataFrame, label: str, value: str, of: Column) -> Column:
+    """The `value` of a row's class, from a table of one row per class held as one map.
+
+    A join on the class would shuffle the whole table onto as many partitions as there are classes.
+    """
+    entries = table.agg(F.map_from_entries(F.collect_list(F.struct(label, value)))).scalar()
+    return F.try_element_at(entries, of)
+
+
 def with_class_weight(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
-    return df.join(class_weights(df, label).withColumnRenamed("weight", out), label)
+    """AGG18 as a column of every row."""
+    return df.withColumn(out, per_class(class_weights(df, label), label, "weight", F.col(label)))
 
 
 def type_summary(report: DataFrame, kind: str = "misconfig_type", confidence: str = "confidence_score") -> DataFrame:

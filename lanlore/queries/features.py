@@ -125,14 +125,19 @@ def win2_gaps_by_user_day(spark, sf):
 
 
 @query(
-    f"""SELECT user_id, time_window, round(coalesce(avg(gap), 0), 4) AS mean_inter_arrival_time,
-      round(CASE WHEN count(gap) = 0 THEN 0.0 ELSE var_samp(gap) END, 1) AS var_inter_arrival_time
+    f"""SELECT user_id, time_window, round(coalesce(avg(gap), 0) + 1e-7, 4) AS mean_inter_arrival_time,
+      round(CASE WHEN count(gap) = 0 THEN 0.0 ELSE var_samp(gap) END + 1e-7, 0) AS var_inter_arrival_time
     FROM ({GAPS_SQL.format(keys='user_id, time_window', select=f'user_id, {EVENT_DAY} AS time_window', ts='ts', table='events')}) GROUP BY ALL"""
 )
 def win3_inter_arrival_by_user_day(spark, sf):
     src = events(spark, sf).withColumn("time_window", floor_to(F.col("ts"), DAY))
     stats = gap_statistics(src, ["user_id", "time_window"], "ts", DAY / 64)
-    return rounded(stats, mean_inter_arrival_time=4, var_inter_arrival_time=1)
+    return stats.withColumns(
+        {
+            "mean_inter_arrival_time": nudged(F.col("mean_inter_arrival_time"), 4),
+            "var_inter_arrival_time": nudged(F.col("var_inter_arrival_time"), 0),
+        }
+    )
 
 
 @query(
