@@ -4,22 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import bucket_of, seconds_between
+from .running import running
 
 
-def positive_gaps(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+def positive_gaps(df: DataFrame, keys: Sequence[str], ts: str, slice_seconds: float) -> DataFrame:
     """WIN2: seconds since the device's previous record in the window, where positive.
 
-    Equal times give gap 0, which is never kept, so the distinct times are enough:
-    they are reduced map-side before anything is ordered.
+    Equal times give gap 0, which is never kept, so the distinct times are enough: they are
+    reduced map-side first. The previous time is a running maximum, taken slice by slice, so
+    a busy device and window is not ordered in one task.
     """
     distinct = df.select(*keys, ts).where(F.col(ts).isNotNull()).distinct()
-    order = Window.partitionBy(*keys).orderBy(ts)
-    gap = seconds_between(F.col(ts), F.lag(ts).over(order))
-    return distinct.withColumn("gap", gap).where(F.col("gap").isNotNull())
+    sliced = distinct.withColumn("_slice", bucket_of(F.col(ts), slice_seconds))
+    before = running(sliced, {"_previous": ts}, order=[ts], by=keys, func=F.max, inclusive=False)
+    return before.where(F.col("_previous").isNotNull()).select(
+        *keys, ts, seconds_between(F.col(ts), F.col("_previous")).alias("gap")
+    )
 
 
 def gap_statistics(df: DataFrame, keys: Sequence[str], ts: str, slice_seconds: float) -> DataFrame:

@@ -121,7 +121,7 @@ FROM (SELECT DISTINCT {select}, {ts} AS ts FROM {table})"""
 )
 def win2_gaps_by_user_day(spark, sf):
     src = events(spark, sf).withColumn("time_window", floor_to(F.col("ts"), DAY))
-    return rounded(positive_gaps(src, ["user_id", "time_window"], "ts"))
+    return rounded(positive_gaps(src, ["user_id", "time_window"], "ts", DAY / 16))
 
 
 @query(
@@ -131,7 +131,7 @@ def win2_gaps_by_user_day(spark, sf):
 )
 def win3_inter_arrival_by_user_day(spark, sf):
     src = events(spark, sf).withColumn("time_window", floor_to(F.col("ts"), DAY))
-    stats = gap_statistics(src, ["user_id", "time_window"], "ts", DAY / 64)
+    stats = gap_statistics(src, ["user_id", "time_window"], "ts", DAY / 16)
     return stats.withColumns(
         {
             "mean_inter_arrival_time": nudged(F.col("mean_inter_arrival_time"), 4),

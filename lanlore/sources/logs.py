@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -38,6 +39,21 @@ def _csv_columns(spark: SparkSession, paths: Sequence[str], sep: str = ",") -> l
     return spark.read.options(**CSV_OPTIONS).option("sep", sep).csv(list(paths)).columns
 
 
+def _header(spark: SparkSession, path: str) -> list[str]:
+    """The column names of one CSV: its first line when it is a file, else as Spark reads the folder."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.getFileStatus(where).isFile():
+        return _csv_columns(spark, [path])
+    lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(where), "UTF-8"))
+    try:
+        first = lines.readLine()
+    finally:
+        lines.close()
+    return [c.strip() for c in next(csv.reader([first]))] if first and first.strip() else []
+
+
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
     """A CSV with a header, its columns matched to `schema` by name.
 
@@ -136,7 +152,7 @@ def _parse_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
     parts = []
     for header in headers:
-        names = [h.strip().strip('"') for h in header.split(",")]
+        names = [h.strip() for h in next(csv.reader([header]))]
         text = ", ".join(f"`{n}` string" for n in names)
         row = lines.where(F.col("header") == header).select(F.from_csv("line", text, {"mode": "PERMISSIVE"}).alias("_r"))
         parts.append(
@@ -158,7 +174,7 @@ def read_flow_folder(
     archives = list_files(spark, f"{folder}/*.zip", left) if left is None or left > 0 else []
     groups: dict[tuple[str, ...], list[str]] = {}
     for path in plain:
-        groups.setdefault(tuple(_csv_columns(spark, [path])), []).append(path)
+        groups.setdefault(tuple(_header(spark, path)), []).append(path)
     parts = []
     for columns, paths in groups.items():
         if columns:
