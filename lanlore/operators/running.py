@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-SLICE_BITS = 8
-HASH_SLICES = 1024
+SLICE_BITS = 10
+HASH_BITS = 16
 
 
 def quantile_slice(df: DataFrame, value: str, out: str = "_slice", bits: int = SLICE_BITS) -> DataFrame:
@@ -112,7 +112,7 @@ def ranked(
     """
     if order is None:
         work = df.withColumn("_order", hash_order(keys, seed)).withColumn(
-            "_slice", F.shiftright("_order", 64 - HASH_SLICES.bit_length() + 1)
+            "_slice", F.shiftright("_order", 64 - HASH_BITS)
         )
         columns: list = ["_order", *keys]
     else:

@@ -16,7 +16,13 @@ from pyspark.sql import types as T
 from ..functions.columns import nan_to_null, named
 from ..schema import DATASET_FLOW, DHCP_LOG, DNS_LOG, FEATURE_TABLE, FLOW_LOG
 
-CSV_OPTIONS = {"header": "true", "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+CSV_OPTIONS = {
+    "header": "true",
+    "mode": "PERMISSIVE",
+    "ignoreLeadingWhiteSpace": "true",
+    "ignoreTrailingWhiteSpace": "true",
+    "ignoreCorruptFiles": "true",
+}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -168,7 +174,6 @@ def read_flow_folder(
 
     `max_files` caps plain files first and archives with what is left.
     """
-    spark.conf.set("spark.sql.files.ignoreCorruptFiles", "true")
     plain = list_files(spark, f"{folder}/*.csv", max_files)
     left = None if max_files is None else max_files - len(plain)
     archives = list_files(spark, f"{folder}/*.zip", left) if left is None or left > 0 else []
