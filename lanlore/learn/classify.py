@@ -282,7 +282,7 @@ def _tuned(df, features, key, label, estimator, grid, folds, parallelism, seed):
     best = max(range(len(search.avgMetrics)), key=lambda i: search.avgMetrics[i])
     chosen = {p.name: v for p, v in search.getEstimatorParamMaps()[best].items()}
     model = PipelineModel(stages=[*preparation_model.stages, search.bestModel])
-    return Classifier(model, class_list(df, label)), {**chosen, "macro_f1": search.avgMetrics[best]}
+    return Classifier(model, class_list(df, label)), {**chosen, "macro_f1": float(search.avgMetrics[best])}
 
 
 SAVE_ORDER = ("enhanced_ensemble", "enhanced_rf", "ensemble", "improved_rf", "baseline")
