@@ -82,3 +82,37 @@ def op1_quality_rules(spark, sf):
     return quality_rules(table(spark, sf, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+# 6. Benchmark decontamination
+
+ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+BARE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def contamination_sql(keep: str = "", docs: str = "documents") -> str:
+    return f"""
+{keep}doc_words AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER.format("coalesce(text, '')")}, '{BARE}') AS words FROM {docs}),
+{keep}item_words AS (SELECT item_id, regexp_extract_all({ASCII_LOWER.format("coalesce(text, '')")}, '{BARE}') AS words FROM benchmark),
+{keep}item_grams AS (SELECT DISTINCT item_id, least(len(words), 13) AS n, list_slice(words, i, i + least(len(words), 13) - 1) AS gram
+    FROM {keep}item_words, unnest(range(1, greatest(len(words) - 12, 1) + 1)) AS r(i) WHERE len(words) > 0),
+{keep}doc_grams AS (SELECT d.doc_id, i, n, list_slice(words, i, i + n - 1) AS gram
+    FROM {keep}doc_words d, (SELECT DISTINCT n FROM {keep}item_grams) s, unnest(range(1, len(words) - n + 2)) AS r(i)),
+{keep}found AS (SELECT d.doc_id, d.i, d.n, g.item_id FROM {keep}doc_grams d JOIN {keep}item_grams g ON d.n = g.n AND d.gram = g.gram),
+{keep}hits AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM {keep}found, unnest(range(0, n)) AS r(k) GROUP BY doc_id),
+{keep}named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS items FROM {keep}found GROUP BY doc_id),
+{keep}verdict AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+    FROM {keep}doc_words w LEFT JOIN {keep}hits h ON w.doc_id = h.doc_id LEFT JOIN {keep}named i ON w.doc_id = i.doc_id)"""
+
+
+@query(f"WITH {contamination_sql()} SELECT * FROM verdict")
+def op6_decontamination(spark, sf):
+    from pyspark.sql import functions as F
+
+    from .decontaminate import with_verdict
+
+    judged = with_verdict(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return judged.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated"
+    )
