@@ -116,3 +116,32 @@ def op6_decontamination(spark, sf):
     return judged.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated"
     )
+
+
+# 9. MinHash near-dedup
+
+
+def near_sql(keep: str = "", docs: str = "documents", size: int = 2) -> str:
+    shorter = f"list_slice(words, i, i + least({size}, len(words)) - 1)"
+    return f"""
+{keep}near_words AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER.format("coalesce(text, '')")}, '{WORDS}') AS words FROM {docs}),
+{keep}shingles AS (SELECT DISTINCT doc_id, {shorter} AS s FROM {keep}near_words, unnest(range(1, greatest(len(words) - {size - 2}, 2))) AS r(i) WHERE len(words) > 0),
+{keep}sizes AS (SELECT doc_id, count(*) AS n FROM {keep}shingles GROUP BY doc_id),
+{keep}common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM {keep}shingles a JOIN {keep}shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+{keep}links AS (SELECT a, b FROM {keep}common JOIN {keep}sizes x ON x.doc_id = a JOIN {keep}sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+{keep}both AS (SELECT a, b FROM {keep}links UNION ALL SELECT b, a FROM {keep}links),
+{keep}reach AS (SELECT doc_id AS node, doc_id AS seen FROM {docs} UNION SELECT r.node, b.b FROM {keep}reach r JOIN {keep}both b ON r.seen = b.a),
+{keep}groups AS (SELECT node, min(seen) AS component_id FROM {keep}reach GROUP BY node)"""
+
+
+@query(
+    f"WITH RECURSIVE {near_sql()} SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept "
+    "FROM documents d JOIN groups g ON d.doc_id = g.node LEFT JOIN sizes s ON d.doc_id = s.doc_id"
+)
+def op9_minhash_near_dedup(spark, sf):
+    from pyspark.sql import functions as F
+
+    from .near_dedup import near_duplicates
+
+    found = near_duplicates(table(spark, sf, "documents"), size=2, percent=80)
+    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
