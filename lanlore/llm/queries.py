@@ -129,8 +129,8 @@ def near_sql(keep: str = "", docs: str = "documents", size: int = 2) -> str:
 {keep}sizes AS (SELECT doc_id, count(*) AS n FROM {keep}shingles GROUP BY doc_id),
 {keep}common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM {keep}shingles a JOIN {keep}shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
 {keep}links AS (SELECT a, b FROM {keep}common JOIN {keep}sizes x ON x.doc_id = a JOIN {keep}sizes y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
-{keep}both AS (SELECT a, b FROM {keep}links UNION ALL SELECT b, a FROM {keep}links),
-{keep}reach AS (SELECT doc_id AS node, doc_id AS seen FROM {docs} UNION SELECT r.node, b.b FROM {keep}reach r JOIN {keep}both b ON r.seen = b.a),
+{keep}two_way AS (SELECT a, b FROM {keep}links UNION ALL SELECT b, a FROM {keep}links),
+{keep}reach AS (SELECT doc_id AS node, doc_id AS seen FROM {docs} UNION SELECT r.node, b.b FROM {keep}reach r JOIN {keep}two_way b ON r.seen = b.a),
 {keep}groups AS (SELECT node, min(seen) AS component_id FROM {keep}reach GROUP BY node)"""
 
 
