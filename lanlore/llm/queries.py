@@ -145,3 +145,16 @@ def op9_minhash_near_dedup(spark, sf):
 
     found = near_duplicates(table(spark, sf, "documents"), size=2, percent=80)
     return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
+# 7. Mixing sources to target weights
+
+
+@query()
+def op7_entropy_mixing(spark, sf):
+    from pyspark.sql import functions as F
+
+    from .mixing import mix
+
+    mixed = mix(table(spark, sf, "documents"), weights=(5, 2, 1), percent=150)
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
