@@ -158,3 +158,45 @@ def op7_entropy_mixing(spark, sf):
 
     mixed = mix(table(spark, sf, "documents"), weights=(5, 2, 1), percent=150)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+# 2. Secret scans
+
+
+def secrets_sql(keep: str = "", docs: str = "documents") -> str:
+    """Every rule's matches with their places: the pieces between matches tell where each begins."""
+    from .secret_scan import RULES
+
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    steps = []
+    for order, r in enumerate(RULES):
+        steps.append(
+            f"SELECT doc_id, {order} AS kind_no, '{r.kind}' AS kind, regexp_split_to_array(text, {quoted(r.pattern)}) AS pieces, "
+            f"regexp_extract_all(text, {quoted(r.pattern)}) AS found, regexp_extract_all(text, {quoted(r.pattern)}, {r.group}) AS judged, {r.least} AS least FROM {keep}scanned"
+        )
+    return f"""
+{keep}scanned AS (SELECT doc_id, coalesce(text, '') AS text FROM {docs}),
+{keep}matched AS ({" UNION ALL ".join(steps)}),
+{keep}spans AS (SELECT doc_id, kind_no, kind, length(found[i]) AS size,
+    length(array_to_string(list_slice(pieces, 1, i), '')) + length(array_to_string(list_slice(found, 1, i - 1), '')) AS begins
+    FROM {keep}matched, unnest(range(1, len(found) + 1)) AS r(i) WHERE length(judged[i]) >= least),
+{keep}listed AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || begins || ':' || (begins + size), ',' ORDER BY begins, kind_no) FILTER (kind_no < 3) AS base,
+    string_agg(kind || ':' || begins || ':' || (begins + size), ',' ORDER BY begins, kind_no) AS spans FROM {keep}spans GROUP BY doc_id)"""
+
+
+@query(
+    f"WITH {secrets_sql()} SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, "
+    "sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM documents d LEFT JOIN listed l ON d.doc_id = l.doc_id"
+)
+def op2_secret_scan(spark, sf):
+    from pyspark.sql import functions as F
+
+    from .secret_scan import BASE, with_secrets
+
+    found = with_secrets(table(spark, sf, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"].isin(*[r.kind for r in BASE]))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda kind: F.filter("secrets", lambda s: s["kind"] == kind)
+    counts = [F.size(of(r.kind)).cast("long").alias(f"n_{r.kind}") for r in BASE]
+    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
