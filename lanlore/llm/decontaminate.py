@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .text import NOT_BARE, lower_ascii, split_words, without
+from .text import NOT_BARE, lower_ascii, split_words, where_settled, without
 
 WINDOW = 13
 #: How many of a window's posting lists are intersected before its candidates meet the text.
@@ -127,5 +127,5 @@ def with_verdict(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: s
 def keep_clean(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents that are not contaminated, with their own columns only."""
     whole = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (doc, text)]).alias("_rest"))
-    kept = with_verdict(whole, items, "_doc", "_text", **how).where(~F.col("contaminated"))
+    kept = where_settled(with_verdict(whole, items, "_doc", "_text", **how), ~F.col("contaminated"))
     return kept.select(*[F.col({doc: "_doc", text: "_text"}.get(c, f"_rest.`{c}`")).alias(c) for c in docs.columns])

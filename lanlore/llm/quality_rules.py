@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import split_words, stripped_of, without
+from .text import split_words, stripped_of, where_settled, without
 
 #: Documents' worth of weight that the language's sketch has in each of its sources' sketches.
 PRIOR = 100
@@ -143,10 +143,10 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     judged = without(with_signals(docs, text), *[f"limit_{s}" for s in SIGNALS])
     joined = judged.join(found, judged[lang].eqNullSafe(found["_qr_lang"]) & judged[source].eqNullSafe(found["_qr_source"]), "left").drop("_qr_lang", "_qr_source")
     within = reduce(lambda a, b: a & b, [F.col(s) <= F.col(f"limit_{s}") for s in SIGNALS])
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True)))
+    return joined.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(within, F.lit(True))))
 
 
 def keep_good(docs: DataFrame, **columns: str) -> DataFrame:
     """The documents that the rules keep, with their own columns only."""
     marked = docs.withColumn("_whole_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    return quality_rules(marked, **columns).where("kept").select("_whole_row.*")
+    return where_settled(quality_rules(marked, **columns), F.col("kept")).select("_whole_row.*")

@@ -35,3 +35,12 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """`df` less the columns an operator is about to add; an operator's own columns replace equal names."""
     wanted = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in wanted])
+
+
+def where_settled(df: DataFrame, condition: Column) -> DataFrame:
+    """`df` filtered after its columns were computed.
+
+    Spark pushes a filter below the projections that its columns come from, and writes their expressions out anew in it,
+    inside lambdas once per element. Where those are costly, a column that must not move holds the filter in its place.
+    """
+    return df.withColumn("_settled", F.monotonically_increasing_id()).where(condition & (F.col("_settled") >= 0)).drop("_settled")
