@@ -10,7 +10,8 @@
    still runs between components.
 5. Buckets that still hold several components are worked off completely: every node outside a bucket's largest
    component is held against all nodes of other components there. So no link between different components is left
-   untried, and a group of thousands of near copies, one component by then, costs nothing more.
+   untried, and a group of thousands of near copies, one component by then, costs nothing more. Large buckets are worked
+   off in blocks, so that no task holds a whole bucket and no pair becomes a row unless it is a link.
 
 Defined results: a text without words has an empty set and is linked with nothing; so is a row without an id, whose
 component is null and which is kept. Rows that share an id are one document, linked if any of its texts is.
@@ -36,6 +37,9 @@ SEED = 20240229
 FIELDS = 64 // BITS
 #: Standard errors of the estimate that a pair may lie below the threshold and still be confirmed on full sets.
 MARGIN = 6.0
+#: Nodes up to which a bucket's pairs are rows, and nodes of one side of a block beyond that.
+SMALL = 16
+BLOCK = 1000
 #: Rounds in which each node tries its best pair before whole buckets are worked off.
 ROUNDS = 2
 
@@ -135,17 +139,57 @@ def _labelled(df: DataFrame, labels: DataFrame, node: str, out: str) -> DataFram
     return df.join(labels.toDF(node, "_label"), node, "left").withColumn(out, F.coalesce("_label", node)).drop("_label")
 
 
-def _between(shared: DataFrame, labels: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components. The bucket's largest component is only ever the other side."""
+def _overlaps(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
+    """Linked pairs of one block: every left set against all right sets, through an inverted index of the right ones."""
+    sets = right.column("set").combine_chunks()
+    offsets = np.asarray(sets.offsets).astype(np.int64)
+    values = np.asarray(sets.values)[offsets[0] : offsets[-1]]
+    sizes = np.diff(offsets)
+    owners = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order]
+    nodes, labels = np.asarray(right.column("node")), np.asarray(right.column("label"))
+    one, two = [], []
+    for node, label, members in zip(left.column("node").to_pylist(), left.column("label").to_pylist(), left.column("set")):
+        mine = np.asarray(members.values)
+        lo, hi = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
+        counts = hi - lo
+        at = np.repeat(lo - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        common = np.bincount(owners[at], minlength=len(sizes))
+        linked = np.flatnonzero((labels != label) & (100 * common >= percent * (len(mine) + sizes - common)))
+        one += [node] * len(linked)
+        two += nodes[linked].tolist()
+    return pa.table({"a": pa.array(one, left.schema.field("node").type), "b": pa.array(two, left.schema.field("node").type)})
+
+
+def _between(shared: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """Linked pairs (a, b) of one bucket and different components. A bucket's largest component is only ever the other side.
+
+    Pairs of small buckets are held against the estimate first. A large bucket is cut into blocks on both sides, and each
+    pair of blocks is one small group whose sets are counted against each other; only links come out.
+    """
     members = _labelled(shared.select("key", "node"), labels, "node", "label")
     parts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    members = members.join(mixed, "key").join(nodes.select("node", "packed"), "node").select("key", "node", "label", "major", "packed")
-    few = members.where(F.col("label") != F.col("major")).select("key", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("packed").alias("packed_a"))
-    pairs = few.join(members, "key").where(
-        (F.col("label_a") != F.col("label")) & ((F.col("label") == F.col("major")) | (F.col("a") < F.col("node"))) & (estimate("packed_a", "packed") >= least)
+    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all")).where("parts > 1")
+    members = cut_lineage(members.join(mixed.select("key", F.col("most.label").alias("major"), "all", (F.col("all") - F.col("most.n")).alias("few")), "key"))
+
+    small = members.where(F.col("all") <= SMALL).join(nodes.select("node", "packed"), "node").select("key", "node", "label", "major", "packed")
+    few = small.where(F.col("label") != F.col("major")).select("key", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("packed").alias("packed_a"))
+    pairs = few.join(small, "key").where(
+        (F.col("label_a") != F.col("label")) & ((F.col("label") == F.col("major")) | (F.col("a") < F.col("node"))) & (estimate("packed_a", "packed") >= least_estimate(percent / 100))
     )
-    return pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+    pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+
+    large = members.where(F.col("all") > SMALL).join(sets, "node")
+    across, down = F.ceil(F.col("few") / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
+    own = F.xxhash64("node")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = large.where(F.col("label") != F.col("major")).select("key", F.pmod(own, across).alias("i"), every(down).alias("j"), "node", "label", "set")
+    right = large.select("key", every(across).alias("i"), F.pmod(own, down).alias("j"), "node", "label", "set")
+    kind = dict(members.dtypes)["node"]
+    names = ["key", "i", "j", "node", "label", "set"]
+    blocks = left.toDF(*names).groupBy("key", "i", "j").cogroup(right.toDF(*names).groupBy("key", "i", "j"))
+    return confirmed(pairs, sets, percent).union(blocks.applyInArrow(lambda a, b: _overlaps(a, b, percent), f"a {kind}, b {kind}")).distinct()
 
 
 def _components(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
@@ -167,8 +211,7 @@ def _components(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
         links = cut_lineage(links.union(confirmed(best, sets, percent)))
         tried = tried.union(best)
         labels = connected_components(links)
-    rest = _between(shared, labels, nodes, least).join(tried, ["a", "b"], "left_anti")
-    return connected_components(links.union(confirmed(rest, sets, percent)))
+    return connected_components(links.union(_between(shared, labels, nodes, sets, tried, percent)))
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
