@@ -200,3 +200,22 @@ def op2_secret_scan(spark, sf):
     of = lambda kind: F.filter("secrets", lambda s: s["kind"] == kind)
     counts = [F.size(of(r.kind)).cast("long").alias(f"n_{r.kind}") for r in BASE]
     return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("secrets")).alias("spans"))
+
+
+# 8. Language ID
+
+
+def remainder(doc_id="doc_id"):
+    from pyspark.sql import functions as F
+
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
+
+
+@query()
+def op8_language_id(spark, sf):
+    from .language_id import fit, with_language
+
+    docs = table(spark, sf, "documents")
+    models = fit(docs.where(remainder() != 0).select("doc_id", "text", "lang"))
+    judged = with_language(docs.select("doc_id", "text"), models)
+    return judged.select("doc_id", (remainder() == 0).alias("held_out"), judged["language.lang"].alias("lang_pred"), judged["language.score"].alias("score"), judged["language.cross_entropy"], judged["language.rejected"])
