@@ -219,3 +219,16 @@ def op8_language_id(spark, sf):
     models = fit(docs.where(remainder() != 0).select("doc_id", "text", "lang"))
     judged = with_language(docs.select("doc_id", "text"), models)
     return judged.select("doc_id", (remainder() == 0).alias("held_out"), judged["language.lang"].alias("lang_pred"), judged["language.score"].alias("score"), judged["language.cross_entropy"], judged["language.rejected"])
+
+
+# 5. HTML extraction
+
+
+@query()
+def op5_html_extraction(spark, sf):
+    from pyspark.sql import functions as F
+
+    from .html_text import with_main_text
+
+    found = with_main_text(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", found["main.text"].alias("text"), F.length(found["main.text"]).cast("long").alias("n_chars"), found["main.n_blocks"], found["main.n_kept"])
