@@ -232,3 +232,16 @@ def op5_html_extraction(spark, sf):
 
     found = with_main_text(table(spark, sf, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", found["main.text"].alias("text"), F.length(found["main.text"]).cast("long").alias("n_chars"), found["main.n_blocks"], found["main.n_kept"])
+
+
+# 3. Quality classifier
+
+
+@query()
+def op3_importance_resampling(spark, sf):
+    from pyspark.sql import functions as F
+
+    from .resampling import keep_likely
+
+    labels = table(spark, sf, "labels")
+    return keep_likely(table(spark, sf, "documents"), labels, F.col("quality") == 1).withColumnRenamed("doc", "doc_id")
