@@ -245,3 +245,14 @@ def op3_importance_resampling(spark, sf):
 
     labels = table(spark, sf, "labels")
     return keep_likely(table(spark, sf, "documents"), labels, F.col("quality") == 1).withColumnRenamed("doc", "doc_id")
+
+
+# 10. LM scoring
+
+
+@query()
+def op10_gru_scoring(spark, sf):
+    from .gru_lm import language_scores
+
+    scored = language_scores(table(spark, sf, "documents").select("doc_id", "text"), remainder() != 1).withColumnRenamed("doc", "doc_id")
+    return scored.select("doc_id", (remainder() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
