@@ -256,3 +256,28 @@ def op10_gru_scoring(spark, sf):
 
     scored = language_scores(table(spark, sf, "documents").select("doc_id", "text"), remainder() != 1).withColumnRenamed("doc", "doc_id")
     return scored.select("doc_id", (remainder() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+# 4. Substring dedup
+
+
+def repeats_sql(keep: str = "", docs: str = "documents", window: int = 20) -> str:
+    return f"""
+{keep}plain AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS words FROM {docs}),
+{keep}windows AS (SELECT doc_id, i, list_slice(words, i, i + {window - 1}) AS w FROM {keep}plain, unnest(range(1, len(words) - {window - 2})) AS r(i)),
+{keep}again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS k FROM {keep}windows) WHERE k > 1),
+{keep}gone AS (SELECT doc_id, list(DISTINCT i + k) AS places FROM {keep}again, unnest(range(0, {window})) AS r(k) GROUP BY doc_id)"""
+
+
+@query(
+    f"WITH {repeats_sql()} SELECT p.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed, "
+    "sha256(array_to_string(CASE WHEN places IS NULL THEN words ELSE list_filter(words, lambda w, i: NOT list_contains(places, i)) END, ' ')) AS kept_sha256 "
+    "FROM plain p LEFT JOIN gone g ON p.doc_id = g.doc_id"
+)
+def op4_substring_dedup(spark, sf):
+    from pyspark.sql import functions as F
+
+    from .substring_dedup import without_repeats
+
+    left = without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
