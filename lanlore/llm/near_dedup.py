@@ -41,7 +41,7 @@ MARGIN = 6.0
 SMALL = 16
 BLOCK = 1000
 #: Rounds in which each node tries its best pair before whole buckets are worked off.
-ROUNDS = 2
+ROUNDS = 1
 
 
 def shingle_set(text: Column | str, size: int) -> Column:
@@ -192,8 +192,8 @@ def _between(shared: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataF
     return confirmed(pairs, sets, percent).union(blocks.applyInArrow(lambda a, b: _overlaps(a, b, percent), f"a {kind}, b {kind}")).distinct()
 
 
-def _components(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
-    """(node, component) of every node that is linked with another."""
+def _components(nodes: DataFrame, sets_of, ties: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of every node that is linked with another, by similarity or by `ties`."""
     least = least_estimate(percent / 100)
     keys = nodes.select("node", F.explode("bands").alias("key")).distinct()
     met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node"))["node"].alias("rep")).where("n > 1")
@@ -211,7 +211,7 @@ def _components(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
         links = cut_lineage(links.union(confirmed(best, sets, percent)))
         tried = tried.union(best)
         labels = connected_components(links)
-    return connected_components(links.union(_between(shared, labels, nodes, sets, tried, percent)))
+    return connected_components(links.union(_between(shared, labels, nodes, sets, tried, percent)).union(ties))
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -229,9 +229,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", si
     within = signed.where("n > 0 AND doc IS NOT NULL").join(nodes.select("node", *same), same).select("doc", "node").distinct()
     several = within.groupBy("doc").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc")
     ties = within.join(several, "doc").select(F.col("node").alias("a"), F.col("doc").alias("b"))
-    labels = _components(nodes, sets_of, percent)
-    ties = labels.select(F.col("component").alias("a"), F.col("node").alias("b")).union(ties)
-    labels = connected_components(ties)
+    labels = _components(nodes, sets_of, ties, percent)
     label = _labelled(nodes.select(*same, "node"), labels, "node", "component").select(*same, "component")
     out = signed.select("doc", *same).join(label, same, "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc"))
