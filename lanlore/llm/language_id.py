@@ -83,7 +83,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch and language: every n-gram of the highest order with its hashes of all orders and its count."""
     for batch in batches:
         frame = batch.to_pandas()
-        for lang, rows in frame.groupby("lang", sort=True):
+        pieces = frame["text"].str.len().cumsum() // 1_000_000
+        for (lang, _), rows in frame.groupby(["lang", pieces], sort=True):
             codes, starts = normalised(rows["text"].tolist())
             with np.errstate(over="ignore"):
                 h, context = hashes(codes, starts)
@@ -125,20 +126,20 @@ class Models:
 
     def cross_entropies(self, texts: list[str]) -> np.ndarray:
         """Nats per character of each text, a column per language."""
-        codes, starts = normalised(texts)
         out = np.empty((len(texts), len(self.languages)))
+        ends = np.cumsum([len(t) for t in texts])
         first = 0
         while first < len(texts):  # some hundred thousand characters at a time; one long text may be more
-            last = max(first + 1, int(np.searchsorted(starts, starts[first] + 300_000, "right")) - 1)
-            part, at = codes[starts[first] : starts[last]], starts[first : last + 1] - starts[first]
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + 300_000)))
+            codes, starts = normalised(texts[first:last])
             with np.errstate(over="ignore"):
-                h, context = hashes(part, at)
+                h, context = hashes(codes, starts)
             which, _ = pd.factorize(h[-1])
             index = np.empty(which.max() + 1, np.int64)
             index[which[::-1]] = np.arange(len(which))[::-1]
             logs = self.logs(h[:, index], context[:, index])
             for j in range(len(self.languages)):
-                out[first:last, j] = -np.add.reduceat(logs[:, j][which], at[:-1]) / np.diff(at)
+                out[first:last, j] = -np.add.reduceat(logs[:, j][which], starts[:-1]) / np.diff(starts)
             first = last
         return out
 
