@@ -17,7 +17,6 @@ from .running import ranked
 from .summary import class_balance, imbalance_ratio, per_class
 
 COPIES_PER_TASK_ROW = 4096
-SMALL_MINORITY = 20
 
 
 def class_counts(df: DataFrame, label: str = "label") -> dict[int, int]:
@@ -33,11 +32,14 @@ def stratified_split(
     seed: int = 42,
     order: str | None = None,
 ) -> DataFrame:
-    """BAL1: adds `is_test`, true for the first round(n_c * fraction) rows of each class in hash order."""
+    """BAL1: adds `is_test`, true for the first round(n_c * fraction) rows of each class in hash order.
+
+    Rows without a class cannot be stratified and stay in the training part.
+    """
     numbered = ranked(df, "_rank", by=[label], order=order, keys=[key], seed=seed)
     size = per_class(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), label, "n", F.col(label))
     return numbered.withColumn("_size", size).select(
-        *df.columns, (F.col("_rank") < F.round(F.col("_size") * F.lit(test_fraction))).alias("is_test")
+        *df.columns, F.coalesce(F.col("_rank") < F.round(F.col("_size") * F.lit(test_fraction)), F.lit(False)).alias("is_test")
     )
 
 
@@ -49,7 +51,7 @@ def fold_column(df: DataFrame, key: str, folds: int, label: str = "label", seed:
 
 
 def undersample(df: DataFrame, key: str, label: str = "label", seed: int = 42, order: str | None = None) -> DataFrame:
-    """BAL7: as many rows of each class as the smallest class has."""
+    """BAL7: as many rows of each class as the smallest class has. Rows without a class count as a class."""
     smallest = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).scalar()
     return (
         ranked(df, "_rank", by=[label], order=order, keys=[key], seed=seed)
@@ -71,8 +73,9 @@ def repeated_undersample(
 
     Only the largest and the smallest class survive; with ``all_classes=True`` each class but
     the smallest is cut in chunks of the minority's size, for as many rounds as it lasts.
-    On equal counts the lower label is taken.
+    On equal counts the lower label is taken. Rows without a class are in no round.
     """
+    df = df.where(F.col(label).isNotNull())
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     ends = counts.agg(
         F.struct(
@@ -359,14 +362,10 @@ def balance(
     seed: int = 42,
     strategy: str | float | Mapping[int, int] = "auto",
 ) -> DataFrame:
-    """Rebalance by name. SMOTE on a minority below 20 rows becomes repeated undersampling,
-    and a table a method cannot handle comes back unchanged."""
-    if method == "none":
-        return df
-    if method == "undersample":
-        return undersample(df, key, label, seed)
-    if method == "smote" and min(class_counts(df, label).values()) < SMALL_MINORITY:
-        return repeated_undersample(df, key, label, seed)
+    """Rebalance by name: the method asked for, or an error where it cannot handle the table.
+
+    For a minority of very few rows, "repeated_undersample" pairs it with chunks of the majority instead.
+    """
     makers = {
         "smote": smote,
         "adasyn": adasyn,
@@ -374,8 +373,12 @@ def balance(
         "smoteenn": smote_enn,
         "smotetomek": smote_tomek,
     }
-    maker = makers.get(method, smote)
-    try:
-        return maker(df, features, key, label=label, seed=seed, strategy=strategy)
-    except ValueError:
+    if method == "none":
         return df
+    if method == "undersample":
+        return undersample(df, key, label, seed)
+    if method == "repeated_undersample":
+        return repeated_undersample(df, key, label, seed)
+    if method not in makers:
+        raise ValueError(f"no method {method!r}; there are none, undersample, repeated_undersample, {', '.join(makers)}")
+    return makers[method](df, features, key, label=label, seed=seed, strategy=strategy)

@@ -44,6 +44,13 @@ def quantile_slice(df: DataFrame, value: str, out: str = "_slice", bits: int = S
     )
 
 
+def joined_by(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on equal keys, where null is a key like any other."""
+    other = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = [left[k].eqNullSafe(other[f"_k_{k}"]) for k in keys]
+    return left.join(other, same).drop(*[f"_k_{k}" for k in keys])
+
+
 def running(
     df: DataFrame,
     values: Mapping[str, Column | str],
@@ -80,7 +87,8 @@ def running(
             *[func(f"_t_{n}").over(Window.partitionBy(*by)).alias(f"all_{n}") for n in names if totals],
         )
     )
-    joined = work.withColumns({f"_in_{n}": func(f"_v_{n}").over(inside) for n in names}).join(before, keys)
+    joined = work.withColumns({f"_in_{n}": func(f"_v_{n}").over(inside) for n in names})
+    joined = joined_by(joined, before, keys)
 
     def merged(n: str) -> Column:
         here, earlier = F.col(f"_in_{n}"), F.col(f"_before_{n}")
@@ -126,8 +134,7 @@ def ranked(
         .select(*by, "_slice", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_before"))
     )
     return (
-        work.withColumn("_in", F.row_number().over(inside))
-        .join(before, [*by, "_slice"])
+        joined_by(work.withColumn("_in", F.row_number().over(inside)), before, [*by, "_slice"])
         .withColumn(out, F.col("_in") - 1 + F.col("_before"))
         .select(*df.columns, out)
     )

@@ -62,8 +62,9 @@ def per_class(table: DataFrame, label: str, value: str, of: Column) -> Column:
     """The `value` of a row's class, from a table of one row per class held as one map.
 
     A join on the class would shuffle the whole table onto as many partitions as there are classes.
+    Rows without a class have no value.
     """
-    entries = table.agg(F.map_from_entries(F.collect_list(F.struct(label, value)))).scalar()
+    entries = table.where(F.col(label).isNotNull()).agg(F.map_from_entries(F.collect_list(F.struct(label, value)))).scalar()
     return F.try_element_at(entries, of)
 
 

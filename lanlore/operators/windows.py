@@ -34,14 +34,11 @@ def gap_statistics(df: DataFrame, keys: Sequence[str], ts: str, slice_seconds: f
     comes from the neighbouring slices' first and last times; the parts then merge exactly.
     No gap gives 0 and 0; a single gap has a null variance.
     """
-    sliced = (
-        df.select(*keys, ts)
-        .where(F.col(ts).isNotNull())
-        .distinct()
-        .withColumn("_slice", bucket_of(F.col(ts), slice_seconds))
-    )
+    # no distinct times: equal times are dropped as gaps of 0 below, so one shuffle by slice is enough
+    sliced = df.select(*keys, ts).where(F.col(ts).isNotNull()).withColumn("_slice", bucket_of(F.col(ts), slice_seconds))
     inside = Window.partitionBy(*keys, "_slice").orderBy(ts)
-    gaps = sliced.withColumn("_gap", seconds_between(F.col(ts), F.lag(ts).over(inside)))
+    gap = seconds_between(F.col(ts), F.lag(ts).over(inside))
+    gaps = sliced.withColumn("_all", gap).withColumn("_gap", F.when(F.col("_all") > 0, F.col("_all")))
     per_slice = gaps.groupBy(*keys, "_slice").agg(
         F.count("_gap").alias("_n"),
         F.avg("_gap").alias("_mean"),

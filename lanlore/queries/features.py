@@ -92,9 +92,9 @@ def agg3_response_stats_by_user_day(spark, sf):
     return rounded(dns_of_events(spark, sf))
 
 
-@query(f"SELECT device_id, time_window, dns_failure_ratio FROM ({DNS_SQL.format(window=bucket('30 days', 'ts'))}) WHERE dns_query_count > 5")
+@query(f"SELECT device_id, time_window, dns_failure_ratio FROM ({DNS_SQL.format(window=bucket('30 days', 'ts'))})")
 def agg4_failure_ratio_by_user_month(spark, sf):
-    wide = dns_of_events(spark, sf, MONTH).where("dns_query_count > 5")
+    wide = dns_of_events(spark, sf, MONTH)
     return rounded(wide.select("device_id", "time_window", "dns_failure_ratio"))
 
 

@@ -224,13 +224,13 @@ def joi2_interval_labels(spark, sf):
 
 
 @query(
-    f"""WITH {GLOBAL.replace('event_type IN', 'user_id % 7 = 0 AND event_type IN')}
+    f"""WITH {GLOBAL}
     SELECT o_orderkey, CASE WHEN EXISTS (SELECT 1 FROM iv WHERE o_orderdate + INTERVAL '9000 days' - INTERVAL '15 years' BETWEEN iv."start" AND iv."end")
     THEN 2 ELSE 0 END AS label FROM orders"""
 )
 def joi2_shared_intervals(spark, sf):
     kind = F.col("event_type")
-    marks = events(spark, sf).where("user_id % 7 = 0")
+    marks = events(spark, sf)
     spans = pair_markers(marks, kind == "error", kind == "signup", at="ts", order="ts", slice_by=bucket_of(F.col("ts"), DAY))
     orders = table(spark, sf, "orders").select(
         "o_orderkey", F.expr("o_orderdate + INTERVAL '9000' DAY - INTERVAL '15' YEAR").alias("ts")

@@ -9,11 +9,12 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import nan_to_null, named
+from ..session import cut_lineage
 from ..schema import DATASET_FLOW, DHCP_LOG, DNS_LOG, FEATURE_TABLE, FLOW_LOG
 
 CSV_OPTIONS = {
@@ -21,7 +22,6 @@ CSV_OPTIONS = {
     "mode": "PERMISSIVE",
     "ignoreLeadingWhiteSpace": "true",
     "ignoreTrailingWhiteSpace": "true",
-    "ignoreCorruptFiles": "true",
 }
 
 
@@ -41,53 +41,75 @@ def list_files(spark: SparkSession, pattern: str, max_files: int | None = None)
     return names if max_files is None else names[:max_files]
 
 
-def _csv_columns(spark: SparkSession, paths: Sequence[str], sep: str = ",") -> list[str]:
-    return spark.read.options(**CSV_OPTIONS).option("sep", sep).csv(list(paths)).columns
+def _names(header: str | None, sep: str = ",") -> list[str]:
+    return [c.strip() for c in next(csv.reader([header], delimiter=sep))] if header and header.strip() else []
 
 
-def _header(spark: SparkSession, path: str) -> list[str]:
-    """The column names of one CSV: its first line when it is a file, else as Spark reads the folder."""
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.getFileStatus(where).isFile():
-        return _csv_columns(spark, [path])
-    lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(where), "UTF-8"))
-    try:
-        first = lines.readLine()
-    finally:
-        lines.close()
-    return [c.strip() for c in next(csv.reader([first]))] if first and first.strip() else []
-
-
-def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
-    """A CSV with a header, its columns matched to `schema` by name.
-
-    The declared types are applied after reading as text, so columns may come in any order
-    or be absent (null); unknown columns are kept as text. A file that is not there, or holds
-    none of the columns, gives an empty table of the right shape.
+def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Every line of the files with its file and a number that grows along the file."""
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), place.alias("place"), F.col("value").alias("line"))
+
+
+def _file_headers(lines: DataFrame) -> DataFrame:
+    """(file, header): each file's first line, found by a job over the files' first splits."""
+    return lines.where("place.block = 0").groupBy("file").agg(F.min_by("line", "place").alias("header"))
+
+
+def _parsed(lines: DataFrame, header: str, kinds: dict[str, str], sep: str = ",", **options: str) -> DataFrame:
+    """Lines that share a header as columns of their kinds, text where none is given."""
+    names = _names(header, sep) if sep == "," else [n.strip() for n in header.split(sep)]
+    text = ", ".join(f"`{n}` string" for n in names)
+    row = lines.select(F.from_csv("line", text, {"mode": "PERMISSIVE", "sep": sep, **options}).alias("_r"))
+    return row.select(*[F.trim(named("_r").getField(n)).alias(n) for n in names]).select(*[_typed(n, kinds.get(n, "string")) for n in names])
+
+
+def _typed(name: str, kind: str) -> Column:
+    if kind == "timestamp":
+        return F.try_to_timestamp(named(name)).alias(name)
+    if kind in ("bigint", "int"):  # counters are often written as 12.0
+        return named(name).try_cast("double").try_cast(kind).alias(name)
+    return named(name).try_cast(kind).alias(name)
+
+
+def _by_header(spark: SparkSession, paths: Sequence[str], schema: T.StructType) -> DataFrame | None:
+    """Files with headers of their own, matched by name; None if no file has a column.
+
+    The headers are few and come to the driver, the files do not. Files that all share one
+    header are left to Spark's CSV reader, which reads only the columns asked for.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
+    lines = _lines(spark, paths)
+    headers = _file_headers(lines)
+    distinct = sorted(r["header"] for r in headers.select("header").distinct().collect() if _names(r["header"]))
+    if not distinct:
+        return None
+    if len(distinct) == 1:
+        raw = spark.read.options(**CSV_OPTIONS).option("inferSchema", "false").csv(list(paths))
+        return raw.select(*[_typed(c, kinds.get(c, "string")) for c in raw.columns])
+    tagged = lines.join(headers, "file").where((F.trim("line") != "") & (F.col("line") != F.col("header")))
+    parts = [_parsed(tagged.where(F.col("header") == h), h, kinds, ignoreLeadingWhiteSpace="true", ignoreTrailingWhiteSpace="true") for h in distinct]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, only_present: bool = False) -> DataFrame:
+    """CSV files with headers, each file's columns matched to `schema` by name.
+
+    The declared types are applied after reading as text, so columns may come in any order in each
+    file or be absent (null); unknown columns are kept as text. A path that matches nothing, or files
+    that hold none of the columns, give an empty table of the right shape. With `only_present`, columns
+    that no file has are left out. A file that cannot be read is an error.
     """
     paths = [path] if isinstance(path, str) else list(path)
     paths = [p for p in paths if _exists(spark, p)]
-    if not paths:
-        return spark.createDataFrame([], schema)
-    raw = spark.read.options(**CSV_OPTIONS).option("inferSchema", "false").csv(paths)
-    if not set(raw.columns) & set(schema.names):
+    raw = _by_header(spark, paths, schema) if paths else None
+    if raw is None or not set(raw.columns) & set(schema.names):
         return spark.createDataFrame([], schema)
     have = set(raw.columns)
-    typed = []
-    for field in schema.fields:
-        if field.name not in have:
-            typed.append(F.lit(None).cast(field.dataType).alias(field.name))
-        elif isinstance(field.dataType, T.TimestampType):
-            typed.append(F.try_to_timestamp(named(field.name)).alias(field.name))
-        elif isinstance(field.dataType, (T.LongType, T.IntegerType)):
-            # counters are often written as 12.0
-            typed.append(named(field.name).try_cast("double").try_cast(field.dataType).alias(field.name))
-        else:
-            typed.append(named(field.name).try_cast(field.dataType).alias(field.name))
-    extra = [named(c) for c in raw.columns if c not in schema.names]
-    return nan_to_null(raw.select(*typed, *extra))
+    absent = [] if only_present else [f for f in schema.fields if f.name not in have]
+    every = raw.withColumns({f.name: F.lit(None).cast(f.dataType) for f in absent}) if absent else raw
+    order = [f.name for f in schema.fields if f.name in set(every.columns)] + [c for c in raw.columns if c not in schema.names]
+    return nan_to_null(every.select(*[named(c) for c in order]))
 
 
 def read_dhcp(spark: SparkSession, path: str) -> DataFrame:
@@ -96,11 +118,9 @@ def read_dhcp(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dns(spark: SparkSession, path: str) -> DataFrame:
-    """SRC2. Without a response_time column in the file, the column is dropped, not null."""
-    df = read_csv(spark, path, DNS_LOG)
-    if _exists(spark, path) and "response_time" not in _csv_columns(spark, [path]):
-        return df.drop("response_time")
-    return df
+    """SRC2. Where no file has a response_time column, the column is dropped, not null."""
+    present = read_csv(spark, path, DNS_LOG, only_present=True)
+    return read_csv(spark, path, DNS_LOG) if "response_time" in present.columns else read_csv(spark, path, DNS_LOG).drop("response_time")
 
 
 def read_flows(spark: SparkSession, path: str) -> DataFrame:
@@ -109,19 +129,16 @@ def read_flows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_features(spark: SparkSession, path: str, schema: T.StructType = FEATURE_TABLE) -> DataFrame:
-    """SRC9: a feature table; only the columns the file has are returned."""
-    df = read_csv(spark, path, schema)
-    if not _exists(spark, path):
-        return df
-    have = set(_csv_columns(spark, [path]))
-    return df.select(*[named(c) for c in df.columns if c in have])
+    """SRC9: a feature table; only the columns that a file has are returned."""
+    return read_csv(spark, path, schema, only_present=True)
 
 
-def read_zip_members(spark: SparkSession, paths: Sequence[str], suffix: str = ".csv") -> DataFrame:
+def read_zip_members(spark: SparkSession, paths: Sequence[str], suffix: str = ".csv", skip_unreadable: bool = False) -> DataFrame:
     """SRC5: the lines of the CSV files inside ZIP archives: `archive, member, header, line`.
 
-    An archive is one task's input, since ZIP cannot be split, but its members are streamed
-    line by line: nothing larger than a batch of lines is held. Unreadable archives are skipped.
+    An archive is one task's input and is held packed, since ZIP cannot be split; what is unpacked
+    is streamed in batches of lines. An archive that cannot be read is an error, unless
+    `skip_unreadable`: then it gives one row with null member, header and line.
     """
     schema = "archive string, member string, header string, line string"
 
@@ -131,6 +148,9 @@ def read_zip_members(spark: SparkSession, paths: Sequence[str], suffix: str = ".
                 try:
                     members = zipfile.ZipFile(io.BytesIO(content))
                 except zipfile.BadZipFile:
+                    if not skip_unreadable:
+                        raise ValueError(f"{archive} is not a readable archive") from None
+                    yield pd.DataFrame({"archive": [archive], "member": [None], "header": [None], "line": [None]})
                     continue
                 for name in members.namelist():
                     if not name.endswith(suffix):
@@ -152,43 +172,38 @@ def read_zip_members(spark: SparkSession, paths: Sequence[str], suffix: str = ".
     return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(unzip, schema)
 
 
-def _parse_lines(lines: DataFrame, schema: T.StructType) -> DataFrame:
-    """CSV lines to typed columns. Members may differ in header: one projection per distinct header."""
-    headers = [r["header"] for r in lines.select("header").distinct().collect()]
+def _parse_lines(lines: DataFrame, schema: T.StructType) -> DataFrame | None:
+    """CSV lines of archive members to typed columns; None without lines.
+
+    The lines are written once, so archives are unpacked once; members may differ in header.
+    """
+    lines = cut_lineage(lines.where(F.col("line").isNotNull()))
     kinds = {f.name: f.dataType.simpleString() for f in schema.fields}
-    parts = []
-    for header in headers:
-        names = [h.strip() for h in next(csv.reader([header]))]
-        text = ", ".join(f"`{n}` string" for n in names)
-        row = lines.where(F.col("header") == header).select(F.from_csv("line", text, {"mode": "PERMISSIVE"}).alias("_r"))
-        parts.append(
-            row.select(*[F.trim(named("_r").getField(n)).try_cast(kinds.get(n, "string")).alias(n) for n in names])
-        )
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    headers = sorted(r["header"] for r in lines.select("header").distinct().collect())
+    parts = [_parsed(lines.where(F.col("header") == h), h, kinds) for h in headers]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
 
 def read_flow_folder(
-    spark: SparkSession, folder: str, max_files: int | None = None, schema: T.StructType = DATASET_FLOW
+    spark: SparkSession, folder: str, max_files: int | None = None, schema: T.StructType = DATASET_FLOW, skip_unreadable: bool = False
 ) -> DataFrame:
     """SRC4, SET1: every flow file of a folder, plain CSV and CSV inside ZIP, by column name.
 
-    `max_files` caps plain files first and archives with what is left.
+    `max_files` caps plain files first and archives with what is left. An archive that cannot be read
+    is an error unless `skip_unreadable`; `read_zip_members` tells which ones those are.
     """
     plain = list_files(spark, f"{folder}/*.csv", max_files)
     left = None if max_files is None else max_files - len(plain)
     archives = list_files(spark, f"{folder}/*.zip", left) if left is None or left > 0 else []
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path in plain:
-        groups.setdefault(tuple(_header(spark, path)), []).append(path)
     parts = []
-    for columns, paths in groups.items():
-        if columns:
-            table = read_csv(spark, paths, schema)
-            parts.append(table.select(*[named(c) for c in table.columns if c in columns]))
+    if plain:
+        table = read_csv(spark, plain, schema, only_present=True)
+        if table.columns != schema.names or not table.isEmpty():
+            parts.append(table)
     if archives:
-        lines = read_zip_members(spark, archives)
-        if not lines.isEmpty():
-            parts.append(_parse_lines(lines, schema))
+        unpacked = _parse_lines(read_zip_members(spark, archives, skip_unreadable=skip_unreadable), schema)
+        if unpacked is not None:
+            parts.append(unpacked)
     if not parts:
         return spark.createDataFrame([], schema)
     return nan_to_null(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
@@ -213,25 +228,30 @@ def read_marker_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_connection_log(spark: SparkSession, path: str) -> DataFrame:
-    """SRC7: a tab-separated connection log; names from `#fields`, comment lines dropped, '-' null."""
-    text = spark.read.text(path)
-    fields = text.where(F.startswith("value", F.lit("#fields"))).limit(1).collect()
-    if not fields:
+    """SRC7: tab-separated connection logs; names from each file's own `#fields`, comment lines dropped, '-' null."""
+    lines = _lines(spark, [path])
+    fields = lines.where(F.startswith("line", F.lit("#fields"))).groupBy("file").agg(F.min_by("line", "place").alias("header"))
+    headers = sorted(r["header"] for r in fields.select("header").distinct().collect())
+    if not headers:
         raise ValueError(f"{path} has no #fields line")
-    names = fields[0]["value"].rstrip().split("\t")[1:]
-    schema = ", ".join(f"`{n.strip()}` string" for n in names)
-    rows = text.where((F.trim("value") != "") & ~F.startswith("value", F.lit("#")))
-    parsed = rows.select(F.from_csv("value", schema, {"sep": "\t", "nullValue": "-", "mode": "PERMISSIVE"}).alias("_r"))
+    rows = lines.where((F.trim("line") != "") & ~F.startswith("line", F.lit("#"))).join(fields, "file")
     kinds = {
         "ts": "double", "id.orig_p": "int", "id.resp_p": "int", "duration": "double",
         "orig_bytes": "bigint", "resp_bytes": "bigint", "orig_pkts": "bigint", "resp_pkts": "bigint",
     }
-    return parsed.select(
-        *[named("_r").getField(n.strip()).try_cast(kinds.get(n.strip(), "string")).alias(n.strip()) for n in names]
-    )
+    parts = []
+    for header in headers:
+        names = [n.strip() for n in header.rstrip().split("\t")[1:]]
+        # the format has no quoting
+        cells = F.split("line", "\t")
+        row = rows.where(F.col("header") == header).select(*[F.nullif(F.trim(F.get(cells, F.lit(i))), F.lit("-")).alias(n) for i, n in enumerate(names)])
+        parts.append(row.select(*[named(n).try_cast(kinds.get(n, "string")).alias(n) for n in names]))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_packet_export(spark: SparkSession, path: str) -> DataFrame:
-    """SRC8: a packet field export; blanks around header names are stripped, values stay text."""
-    raw = spark.read.options(**CSV_OPTIONS).csv(path)
-    return raw.toDF(*[c.strip() for c in raw.columns])
+    """SRC8: packet field exports; blanks around header names are stripped, values stay text."""
+    found = _by_header(spark, [path], T.StructType([]))
+    if found is None:
+        raise ValueError(f"{path} has no header")
+    return found.toDF(*[c.strip() for c in found.columns])

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lanlore.learn import clusters, isolation
-from lanlore.operators import balance
+from lanlore.operators import balance, summary
 from lanlore.operators.evaluate import average_precision, best_threshold, pr_curve, roc_auc, tune_class
 from lanlore.operators.intervals import event_intervals, label_by_intervals, merge_intervals, pair_markers
 from lanlore.operators.knn import nearest
@@ -260,7 +260,10 @@ def test_strategies_and_methods(spark):
     assert counts(balance.undersample(df, "key")) == {0: 30, 2: 30}
     assert balance.choose_method(df) == "smote"
     few = unbalanced(spark, minority=15)
-    repeated = balance.balance(few, ["a", "b"], "key")
+    assert counts(balance.balance(few, ["a", "b"], "key")) == {0: 140, 2: 140}
+    with pytest.raises(ValueError):
+        balance.balance(few, ["a", "b"], "key", "unheard of")
+    repeated = balance.balance(few, ["a", "b"], "key", "repeated_undersample")
     assert counts(repeated) == {0: 9 * 15, 2: 9 * 15}
     assert repeated.where("label = 0").select("key").distinct().count() == 9 * 15
     grown = counts(balance.adasyn(df, ["a", "b"], "key"))
@@ -278,3 +281,16 @@ def test_isolation_forest_finds_the_outlier(spark):
     assert got[1000]["anomaly"] == -1 and got[1000]["anomaly_score"] == min(r["anomaly_score"] for r in got.values())
     flagged = sum(r["anomaly"] == -1 for k, r in got.items() if k < 1000)
     assert 10 <= flagged <= 20
+
+
+def test_null_keys_are_keys(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2, i % 3) for i in range(20)], "key long, label int, x int")
+    assert ranked(df, "r", by=["label"], keys=["key"]).groupBy("label").count().count() == 3
+    assert ranked(df, "r", by=["label"], order="x", keys=["key"]).count() == 20
+    split = balance.stratified_split(df, "key")
+    assert split.count() == 20 and split.where("label IS NULL AND is_test").count() == 0
+    assert percentiles(df, "x", [0.5], by=["label"]).count() == 3
+    weighted = summary.with_class_weight(df)
+    assert weighted.count() == 20 and weighted.where("label IS NULL AND weight IS NOT NULL").count() == 0
+    assert balance.repeated_undersample(df, "key").where("label IS NULL").count() == 0
+    assert balance.undersample(df, "key").groupBy("label").count().select("count").distinct().count() == 1

@@ -42,7 +42,9 @@ def test_flow_folder_with_archives(spark, tmp_path):
         z.writestr("in/readme.txt", "no")
         z.writestr("two.csv", "sIPs,start\nd4,1050\n")
     (tmp_path / "broken.zip").write_bytes(b"not a zip")
-    got = logs.read_flow_folder(spark, str(tmp_path))
+    with pytest.raises(Exception, match="not a readable archive"):
+        logs.read_flow_folder(spark, str(tmp_path)).count()
+    got = logs.read_flow_folder(spark, str(tmp_path), skip_unreadable=True)
     assert [r[0] for r in rows(got.select("sIPs"), "start")] == ["d1", "d1", "d2", "d3", "d3", "d4"]
     assert got.where("sIPs = 'd3'").agg(F.sum("sBytesSum")).first()[0] == 70
     assert got.where("extra = 'x'").count() == 1
@@ -114,8 +116,11 @@ def test_late_rows_are_counted_and_left_out(spark, tmp_path):
         frame = spark.createDataFrame([("a", base + dt.timedelta(minutes=m)) for m in minutes], schema)
         frame.coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    listener = st.LateRows()
+    spark.streams.addListener(listener)
     table, run = st.to_table(st.windowed(stream, {"n": F.count(F.lit(1))}), str(tmp_path / "out"), str(tmp_path / "ck"))
-    assert st.late_rows(run) == 1
+    assert listener.of(run) == 1
+    spark.streams.removeListener(listener)
     assert [r["n"] for r in table.orderBy("time_window").collect()] == [2, 2, 1]
 
 
@@ -135,3 +140,31 @@ def test_silhouette_needs_two_clusters(spark):
     df = spark.createDataFrame([([0.0], 5), ([0.1], 5), ([9.0], 7), ([9.1], 7), ([4.0], -1)], "scaled array<double>, cluster int")
     assert clusters.silhouette(df) > 0.9
     assert clusters.silhouette(df.where("cluster <> 7")) is None
+
+
+def test_files_with_headers_of_their_own(spark, tmp_path):
+    files = {
+        "a": "timestamp,device_id,message_type,result\n2024-01-01 00:00:00,d1,ACK,ok\n",
+        "b": "device_id,timestamp,result,message_type\nd2,2024-01-01 00:01:00,,NAK\n",
+        "c": "message_type , device_id,timestamp\nDISCOVER, d3,2024-01-01 00:02:00\n",
+        "d": "",
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    got = {r["device_id"]: (r["message_type"], r["timestamp"].minute, r["result"]) for r in logs.read_dhcp(spark, str(tmp_path / "*.csv")).collect()}
+    assert got == {"d1": ("ACK", 0, "ok"), "d2": ("NAK", 1, None), "d3": ("DISCOVER", 2, None)}
+
+
+def test_connection_logs_with_fields_of_their_own(spark, tmp_path):
+    (tmp_path / "a.log").write_text('#fields\tts\tid.orig_h\torig_bytes\n1.5\t"x\t10\n')
+    (tmp_path / "b.log").write_text("#separator\n#fields\torig_bytes\tts\tid.orig_h\n-\t2.5\ty\n#close\n")
+    got = {(r["ts"], r["id.orig_h"], r["orig_bytes"]) for r in logs.read_connection_log(spark, str(tmp_path / "*.log")).collect()}
+    assert got == {(1.5, '"x', 10), (2.5, "y", None)}
+
+
+def test_unreadable_archives_are_errors_unless_asked_for(spark, tmp_path):
+    (tmp_path / "broken.zip").write_text("no archive")
+    with pytest.raises(Exception, match="not a readable archive"):
+        logs.read_zip_members(spark, [str(tmp_path / "broken.zip")]).collect()
+    [row] = logs.read_zip_members(spark, [str(tmp_path / "broken.zip")], skip_unreadable=True).collect()
+    assert row["archive"].endswith("broken.zip") and row["member"] is None
