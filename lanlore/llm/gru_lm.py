@@ -161,7 +161,7 @@ def in_lanes(documents: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.nd
         for lane, d in zip(np.argsort(load, kind="stable"), order[first : first + lanes]):
             plan[lane].append(d)
             load[lane] += sizes[d]
-    targets, owner = np.full((load.max(), lanes), -1, np.int64), np.full((load.max(), lanes), -1, np.int64)
+    targets, owner = (np.full((load.max(), lanes), -1, np.int32) for _ in range(2))
     begins = np.ones((load.max(), lanes), bool)
     for lane, mine in enumerate(plan):
         at = 0
@@ -174,8 +174,8 @@ def in_lanes(documents: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.nd
 
 def _windows(targets: np.ndarray, begins: np.ndarray):
     """Inputs of each window: the token before, or the start mark (`VOCABULARY`) where a document begins."""
-    before = np.concatenate([np.full((1, targets.shape[1]), VOCABULARY), targets[:-1]])
-    before = np.where(begins | (before < 0), VOCABULARY, before)
+    before = np.concatenate([np.full((1, targets.shape[1]), VOCABULARY, np.int32), targets[:-1]])
+    before = np.where(begins | (before < 0), np.int32(VOCABULARY), before)
     for first in range(0, len(targets), WINDOW):
         part = slice(first, first + WINDOW)
         yield part, before[part], begins[part]
@@ -247,7 +247,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 def ids_of(words: list[bytes], ids: dict[bytes, int]) -> np.ndarray:
     get = ids.get
-    return np.array([*[get(w, OTHER) for w in words], END], np.int64)
+    return np.array([*[get(w, OTHER) for w in words], END], np.int32)
 
 
 def count_words(training: DataFrame, text: str = "text") -> DataFrame:
