@@ -26,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..learn.clusters import connected_components
 from ..session import cut_lineage
 from .text import lower_ascii, split_words
 
@@ -40,6 +39,8 @@ MARGIN = 6.0
 #: Nodes up to which a bucket's pairs are rows, and nodes of one side of a block beyond that.
 SMALL = 16
 BLOCK = 1000
+#: Rows of a table of links that one task reads.
+ROWS_PER_TASK = 50_000
 #: Rounds in which each node tries its best pair before whole buckets are worked off.
 ROUNDS = 1
 
@@ -128,6 +129,38 @@ def least_estimate(threshold: float) -> float:
     return threshold - MARGIN * (equal * (1 - equal) / (BANDS * ROWS)) ** 0.5 / (1 - chance)
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """`df` written to the checkpoint folder and read by as many tasks as its rows are worth.
+
+    Tables of links are small beside the texts. Left on as many partitions as the texts were shuffled to, each further
+    shuffle of them would write that many files times as many.
+    """
+    df = cut_lineage(df)
+    return df.coalesce(max(1, -(-df.count() // ROWS_PER_TASK)))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) of linked pairs (a, b): the smallest node reached, by alternating large and small stars.
+
+    Every round is written, so neither the plan nor a lost executor reaches back further.
+    """
+    current = compact(links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct())
+    tasks, seen = current.rdd.getNumPartitions(), None
+    while True:
+        both = current.union(current.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("u", "v").coalesce(tasks)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).coalesce(tasks)
+        large = large.distinct().coalesce(tasks)
+        lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        joined = large.join(lowest, "hi")
+        small = joined.select("hi", "m").union(joined.where("lo <> m").select("lo", "m")).toDF("hi", "lo").coalesce(tasks)
+        current = cut_lineage(small.distinct().coalesce(tasks))
+        state = tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+        if state == seen:
+            return current.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("component")).coalesce(tasks)
+        seen = state
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     one, two = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
@@ -171,7 +204,7 @@ def _between(shared: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataF
     members = _labelled(shared.select("key", "node"), labels, "node", "label")
     parts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all")).where("parts > 1")
-    members = cut_lineage(members.join(mixed.select("key", F.col("most.label").alias("major"), "all", (F.col("all") - F.col("most.n")).alias("few")), "key"))
+    members = compact(members.join(mixed.select("key", F.col("most.label").alias("major"), "all", (F.col("all") - F.col("most.n")).alias("few")), "key"))
 
     small = members.where(F.col("all") <= SMALL).join(nodes.select("node", "packed"), "node").select("key", "node", "label", "major", "packed")
     few = small.where(F.col("label") != F.col("major")).select("key", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("packed").alias("packed_a"))
@@ -197,21 +230,21 @@ def _components(nodes: DataFrame, sets_of, ties: DataFrame, percent: int) -> Dat
     least = least_estimate(percent / 100)
     keys = nodes.select("node", F.explode("bands").alias("key")).distinct()
     met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node"))["node"].alias("rep")).where("n > 1")
-    shared = cut_lineage(keys.join(met.select("key", "rep"), "key"))
+    shared = compact(keys.join(met.select("key", "rep"), "key"))
     sets = cut_lineage(sets_of(shared.select("node").distinct()))
     signed = nodes.select("node", "packed")
     tries = shared.where("node <> rep").select("node", "rep").distinct().join(signed, "node").join(signed.toDF("rep", "packed_rep"), "rep")
-    tries = cut_lineage(tries.withColumn("est", estimate("packed", "packed_rep")).where(F.col("est") >= least).groupBy("node", "rep").agg(F.max("est").alias("est")))
+    tries = compact(tries.withColumn("est", estimate("packed", "packed_rep")).where(F.col("est") >= least).groupBy("node", "rep").agg(F.max("est").alias("est")))
     links = tried = tries.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b")).limit(0)
     labels = tries.select("node", F.col("node").alias("component")).limit(0)
     for _ in range(ROUNDS):
         across = _labelled(_labelled(tries, labels, "node", "label"), labels, "rep", "label_rep").where("label <> label_rep")
         across = across.select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"), "node", "est").join(tried, ["a", "b"], "left_anti")
-        best = cut_lineage(across.groupBy("node").agg(F.max(F.struct("est", "a", "b")).alias("t")).select("t.a", "t.b").distinct())
-        links = cut_lineage(links.union(confirmed(best, sets, percent)))
+        best = compact(across.groupBy("node").agg(F.max(F.struct("est", "a", "b")).alias("t")).select("t.a", "t.b").distinct())
+        links = compact(links.union(confirmed(best, sets, percent)))
         tried = tried.union(best)
-        labels = connected_components(links)
-    return connected_components(links.union(_between(shared, labels, nodes, sets, tried, percent)).union(ties))
+        labels = compact(components(links))
+    return components(links.union(_between(shared, labels, nodes, sets, tried, percent)).union(ties))
 
 
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
