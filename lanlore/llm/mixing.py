@@ -105,16 +105,17 @@ def solve(counts: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
     return state.select("source", "mean", "full", "multiplier")
 
 
-def _carried(rows: pd.DataFrame) -> pd.DataFrame:
+def _carried(rows: pd.DataFrame, most: int) -> pd.DataFrame:
     """One source's sizes, from long to short: what rounding leaves over or short in words goes on to the next size."""
     rows = rows.sort_values("size", ascending=False, ignore_index=True)
-    extra, short = [], 0
-    for size, n, part in zip(rows["size"].tolist(), rows["n"].tolist(), rows["part"].tolist()):
-        short += n * part * size
-        up = min(max(round(short / (size * UNIT)), 0), n) if size else 0
-        short -= up * size * UNIT
-        extra.append(up)
-    return rows.assign(extra=extra)[["source", "size", "base", "extra"]]
+    base, extra, short = [], [], 0
+    for size, n, units in zip(rows["size"].tolist(), rows["n"].tolist(), rows["units"].tolist()):
+        short += n * units * size
+        copies = min(max(round(short / (size * UNIT)), 0), most * n) if size else n
+        short -= copies * size * UNIT
+        base.append(copies // n)
+        extra.append(copies % n)
+    return rows.assign(base=base, extra=extra)[["source", "size", "base", "extra"]]
 
 
 def copies_per_size(counts: DataFrame, solved: DataFrame, most: float = MOST) -> DataFrame:
@@ -124,10 +125,10 @@ def copies_per_size(counts: DataFrame, solved: DataFrame, most: float = MOST) ->
     """
     rows = counts.join(solved.withColumnRenamed("source", "_s"), counts["source"].eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("rate", _rate(F.col("multiplier"), F.col("size"), F.col("mean"), F.col("full"), most))
-    rows = rows.withColumn("base", F.least(F.floor(F.col("rate")), F.lit(int(most))).cast("int"))
-    rows = rows.withColumn("part", F.round((F.col("rate") - F.col("base")) * UNIT).cast("long"))
+    rows = rows.withColumn("units", F.round(F.col("rate") * UNIT).cast("long"))
     kind = dict(counts.dtypes)["source"]
-    return rows.select("source", "size", "n", "base", "part").groupBy("source").applyInPandas(_carried, f"source {kind}, size long, base int, extra long")
+    carried = lambda group: _carried(group, int(most))
+    return rows.select("source", "size", "n", "units").groupBy("source").applyInPandas(carried, f"source {kind}, size long, base int, extra long")
 
 
 def mix(
