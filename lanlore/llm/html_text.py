@@ -5,7 +5,8 @@ footers, sidebars, notices, adverts, forms and reader comments (known by element
 out; those inside an article or main element are in unless they are mostly links; all others are judged by stop-word
 density, length and link density, and short ones stay undecided. The second pass gives undecided blocks the label of
 the nearest decided neighbour; where both sides are as near and differ, headings follow what comes next and other
-blocks are left out. A page with an article keeps only what is inside it.
+blocks are left out. On a page without a block that is surely main text, all undecided ones are kept. A page with an
+article keeps only what is inside it.
 
 Scripts, styles and other raw elements never become text. Character references are decoded, white space within a block
 becomes one space, blocks are joined by a line break in page order; nothing else is dropped or cut.
@@ -164,8 +165,8 @@ def labels_of(blocks: list[tuple[str, int, str, bool]]) -> list[bool]:
             words = _WORD.findall(text.lower())
             stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
             decided.append(True if stops >= STOP_HIGH or (stops >= STOP_LOW and len(text) >= LENGTH_HIGH) else None if stops >= STOP_LOW else False)
-    if all(d is None for d in decided):
-        return [True] * len(blocks)
+    if not any(decided):  # nothing is surely main text: what is not surely something else is
+        return [d is None for d in decided]
     before, after = [], []
     for side, order in ((before, range(len(decided))), (after, range(len(decided) - 1, -1, -1))):
         last = None
