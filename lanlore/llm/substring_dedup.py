@@ -222,8 +222,8 @@ def _spans(found: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def _searched(table: pa.Table, again: bool) -> pa.Table:
-    """One shard: removed spans of words (tokens null), and with `again` the windows of hot anchors that were not removed."""
+def _searched(table: pa.Table, hot: int | None) -> pa.Table:
+    """One shard: removed spans of words (tokens null), and the windows that were not removed of anchors with over `hot` stretches."""
     done = table.filter(table.column("tokens").is_null())
     work = table.filter(table.column("tokens").is_valid()).sort_by([("doc", "ascending"), ("key", "ascending"), ("at", "ascending")])
     docs, keys, at, n = (work.column(c).to_pylist() for c in ("doc", "key", "at", "n"))
@@ -233,7 +233,7 @@ def _searched(table: pa.Table, again: bool) -> pa.Table:
     out: list[tuple] = []
     for i, found in zip(order, repeated_windows([tokens[i] for i in order]) if order else []):
         out += [(docs[i], keys[i], at[i] + a, at[i] + b + WINDOW - 1, 0, None) for a, b in _spans(found)]
-        if again and n[i] > HOT:
+        if hot is not None and n[i] > hot:
             out += [(docs[i], keys[i], at[i] + w, 0, 0, tokens[i][w * BYTES : (w + WINDOW) * BYTES]) for w in np.flatnonzero(~found).tolist()]
     kept = ["doc", "key", "at", "until", "n", "tokens"]
     new = pa.table({c: pa.array([r[k] for r in out], table.schema.field(c).type) for k, c in enumerate(kept)})
@@ -255,10 +255,11 @@ def repeats(keyed: DataFrame) -> DataFrame:
     part = F.pmod(F.xxhash64("doc", "key"), F.ceil(F.col("n") / HOT))
     dealt = pieces.select(F.pmod(F.xxhash64("anchor", part), F.lit(shards)).alias("shard"), "doc", "key", "at", F.lit(0).cast("long").alias("until"), "n", "tokens")
     schema = f"{ids}, at long, until long, n long, tokens binary"
-    once = dealt.groupBy("shard").applyInArrow(lambda t: _searched(t, True), schema)
+    hot = HOT
+    once = dealt.groupBy("shard").applyInArrow(lambda t: _searched(t, hot), schema)
     meet = F.when(F.col("tokens").isNotNull(), F.xxhash64("tokens")).otherwise(F.xxhash64("doc", "key", "at"))
     dealt = once.select(F.pmod(meet, F.lit(shards)).alias("shard"), "doc", "key", "at", "until", "n", "tokens")
-    spans = dealt.groupBy("shard").applyInArrow(lambda t: _searched(t, False), schema)
+    spans = dealt.groupBy("shard").applyInArrow(lambda t: _searched(t, None), schema)
     return spans.groupBy("doc", "key").agg(F.collect_list(F.struct("at", "until")).alias("spans"))
 
 
