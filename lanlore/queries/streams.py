@@ -87,7 +87,8 @@ def str4_late_rows(spark, sf):
     f"""WITH f AS (SELECT user_id, {bucket('1 day', 'ts')} AS w, count(*)::DOUBLE AS n, sum(value) AS v FROM events GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY w) AS i FROM f)
     SELECT a.user_id AS device_id, a.w AS time_window, (11 - (a.i - b.i))::INTEGER AS step, b.n AS n_events, round(b.v, 4) AS total_value
-    FROM r a JOIN r b ON a.user_id = b.user_id AND b.i BETWEEN a.i - 11 AND a.i WHERE a.i >= 12"""
+    FROM r a JOIN r b ON a.user_id = b.user_id AND b.i BETWEEN a.i - 11 AND a.i
+    WHERE a.i >= 12 AND a.w <= (SELECT max(w) - INTERVAL '10 minutes' FROM f)"""
 )
 def str5_rolling_sequences(spark, sf):
     daily = table(spark, sf, "events").groupBy(
@@ -95,7 +96,8 @@ def str5_rolling_sequences(spark, sf):
     ).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("v"))
     folder = scratch_path(spark, "daily")
     daily.write.parquet(folder)
-    rows, _ = st.to_table(rolling_sequences(st.read_stream(spark, folder), ["n", "v"], 12))
+    stream = spark.readStream.schema(daily.schema).parquet(folder)
+    rows, _ = st.to_table(rolling_sequences(stream, ["n", "v"], 12))
     steps = rows.select("device_id", "time_window", F.posexplode("sequence").alias("step", "row"))
     return steps.select(
         "device_id", "time_window", "step", F.get("row", F.lit(0)).alias("n_events"), F.round(F.get("row", F.lit(1)), 4).alias("total_value")

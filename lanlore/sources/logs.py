@@ -228,13 +228,19 @@ def read_marker_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_connection_log(spark: SparkSession, path: str) -> DataFrame:
-    """SRC7: tab-separated connection logs; names from each file's own `#fields`, comment lines dropped, '-' null."""
+    """SRC7: tab-separated connection logs; names from each file's own `#fields`, comment lines dropped, '-' null.
+
+    A file without that line, such as a later part of a split log, has the fields of the others if these all
+    agree; else it cannot be read, and that is an error.
+    """
     lines = _lines(spark, [path])
     fields = lines.where(F.startswith("line", F.lit("#fields"))).groupBy("file").agg(F.min_by("line", "place").alias("header"))
     headers = sorted(r["header"] for r in fields.select("header").distinct().collect())
     if not headers:
         raise ValueError(f"{path} has no #fields line")
-    rows = lines.where((F.trim("line") != "") & ~F.startswith("line", F.lit("#"))).join(fields, "file")
+    rows = lines.where((F.trim("line") != "") & ~F.startswith("line", F.lit("#"))).join(fields, "file", "left")
+    other = F.lit(headers[0]) if len(headers) == 1 else F.raise_error(F.concat(F.col("file"), F.lit(" has no #fields line")))
+    rows = rows.withColumn("header", F.coalesce("header", other.cast("string")))
     kinds = {
         "ts": "double", "id.orig_p": "int", "id.resp_p": "int", "duration": "double",
         "orig_bytes": "bigint", "resp_bytes": "bigint", "orig_pkts": "bigint", "resp_pkts": "bigint",

@@ -131,7 +131,7 @@ def test_rolling_state_spans_batches(spark, tmp_path):
         part = [("a", base + dt.timedelta(minutes=5 * (3 * i + j)), 3 * i + j) for j in range(3)]
         spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    table, _ = st.to_table(rolling_sequences(stream, ["x"], 4), str(tmp_path / "out"), str(tmp_path / "ck"))
+    table, _ = st.to_table(rolling_sequences(stream, ["x"], 4, delay="0 seconds"), str(tmp_path / "out"), str(tmp_path / "ck"))
     got = [[int(v[0]) for v in r["sequence"]] for r in table.orderBy("time_window").collect()]
     assert got == [[0, 1, 2, 3], [1, 2, 3, 4], [2, 3, 4, 5]]
 
@@ -168,3 +168,15 @@ def test_unreadable_archives_are_errors_unless_asked_for(spark, tmp_path):
         logs.read_zip_members(spark, [str(tmp_path / "broken.zip")]).collect()
     [row] = logs.read_zip_members(spark, [str(tmp_path / "broken.zip")], skip_unreadable=True).collect()
     assert row["archive"].endswith("broken.zip") and row["member"] is None
+
+
+def test_rolling_sequences_follow_event_time(spark, tmp_path):
+    schema = "device_id string, time_window timestamp, x int"
+    base = dt.datetime(2024, 1, 1)
+    for i, minutes in enumerate(([0, 10], [5, 30], [15, 20], [90])):
+        part = [("a", base + dt.timedelta(minutes=m), m) for m in minutes]
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    table, _ = st.to_table(rolling_sequences(stream, ["x"], 3, delay="30 minutes"), str(tmp_path / "out"), str(tmp_path / "ck"))
+    got = [(r["time_window"].minute, [int(v[0]) for v in r["sequence"]]) for r in table.orderBy("time_window").collect()]
+    assert got == [(10, [0, 5, 10]), (15, [5, 10, 15]), (20, [10, 15, 20]), (30, [15, 20, 30])]
