@@ -416,17 +416,28 @@ def ord3_best_model(spark, sf):
 
 # ---- decisions from given probabilities ---------------------------------------------------
 
-# two members' class probabilities: softmax-free shares of fixed positive numbers
-MEMBERS_SQL = """
-e AS (SELECT vec_id, label, [abs(embedding[1]::DOUBLE) + 0.01, abs(embedding[2]::DOUBLE) + 0.01, abs(embedding[3]::DOUBLE) + 0.01] AS a,
-  [abs(embedding[4]::DOUBLE) + 0.01, abs(embedding[5]::DOUBLE) + 0.01, abs(embedding[6]::DOUBLE) + 0.01] AS b FROM embeddings),
+# two members' class probabilities, from all numbers of a vector: every sixth goes into one of six sums, three a member,
+# which a power sets apart before they become shares
+
+
+def _sums_sql(first: int) -> str:
+    sums = (f"pow(list_sum(list_transform(list_filter(embedding, lambda x, i: (i - 1) % 6 = {k}), lambda x: abs(x::DOUBLE))), 8)" for k in range(first, first + 3))
+    return f"[{', '.join(sums)}]"
+
+
+MEMBERS_SQL = f"""
+e AS (SELECT vec_id, label, {_sums_sql(0)} AS a, {_sums_sql(3)} AS b FROM embeddings),
 pq AS (SELECT vec_id, label, list_transform(a, lambda x: x / (a[1] + a[2] + a[3])) AS p, list_transform(b, lambda x: x / (b[1] + b[2] + b[3])) AS q FROM e),
 vote AS (SELECT vec_id, label, p, [(p[1] + q[1]) / 2, (p[2] + q[2]) / 2, (p[3] + q[3]) / 2] AS v FROM pq)"""
 
 
 def member_probabilities(spark, sf):
+    def part(k):
+        mine = F.filter("embedding", lambda x, i: i % 6 == k)
+        return F.pow(F.aggregate(mine, F.lit(0.0), lambda s, x: s + F.abs(x.cast("double"))), F.lit(8.0))
+
     def share(first):
-        parts = [F.abs(F.get("embedding", F.lit(first + i)).cast("double")) + 0.01 for i in range(3)]
+        parts = [part(first + i) for i in range(3)]
         total = parts[0] + parts[1] + parts[2]
         return F.array(*[p / total for p in parts])
 
