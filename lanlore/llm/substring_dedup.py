@@ -6,8 +6,8 @@ grow with the square of the corpus, so text is routed to shards by content:
 
 1. The anchor of a window is the smallest hash of the runs of `GRAM` words inside it. Equal windows have equal anchors,
    and successive windows mostly share theirs. Anchors are counted; a window whose anchor occurs once cannot repeat.
-2. Stretches of windows with a common, repeated anchor are cut out and dealt to shards by anchor. Their words are 48-bit
-   hashes. An anchor with more than `HOT` stretches is dealt to several shards.
+2. Stretches of windows with a common, repeated anchor are cut out and dealt to shards by anchor, with their words. An
+   anchor with more than `HOT` stretches is dealt to several shards.
 3. Each shard is laid out in order of document and position and gets an FM-index: the Burrows-Wheeler transform in a
    wavelet matrix of packed bits with block counts. Backward search extends all windows by one word a step, and drops a
    window as soon as its interval holds only itself. An interval left after `WINDOW` steps is a match; all of its window
@@ -40,8 +40,6 @@ GRAM = 6
 HOT = 2000
 #: Stretches a shard is meant to hold.
 SHARD = 4000
-BYTES = 6
-MASK = np.uint64(2**48 - 1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -99,7 +97,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The stretches of a block whose anchor is among the repeated ones of their document."""
     for batch in batches:
-        h, row, at, first, size, anchor, _ = stretches(batch.column(2))
+        _, row, at, _, size, anchor, _ = stretches(batch.column(2))
         lists = batch.column(3)
         offsets = np.asarray(lists.offsets).astype(np.int64)
         repeated = lists.values.flatten() if isinstance(lists.values, pa.StructArray) else None
@@ -111,8 +109,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = np.stack([row.astype(np.int64), anchor], axis=1).view([("row", np.int64), ("anchor", np.int64)]).ravel() if len(row) else pairs[:0]
         place = np.minimum(np.searchsorted(pairs, mine), max(len(pairs) - 1, 0))
         keep = np.flatnonzero(pairs[place] == mine) if len(pairs) and len(mine) else np.empty(0, np.int64)
-        packed = (h & MASK).view(np.uint8).reshape(-1, 8)[:, :BYTES]
-        tokens = [packed[f : f + s].tobytes() for f, s in zip(first[keep].tolist(), size[keep].tolist())]
+        tokens, words, of = [], [], -1
+        for r, a, s in zip(row[keep].tolist(), at[keep].tolist(), size[keep].tolist()):
+            if r != of:
+                words, of = batch.column(4)[r].as_py().encode("utf-8", "replace").split(), r
+            tokens.append(b" ".join(words[a : a + s]))
         rows = pa.array(row[keep])
         yield pa.RecordBatch.from_arrays(
             [pa.array(anchor[keep]), pa.array(counts[place[keep]]), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at[keep]), pa.array(tokens, pa.binary())],
@@ -183,13 +184,14 @@ class FMIndex:
 
 
 def repeated_windows(tokens: list[bytes]) -> list[np.ndarray]:
-    """For stretches in order: at which of its windows each repeats a window of an earlier stretch, or of itself further up."""
+    """For stretches (words joined by spaces) in order: at which of its windows each repeats a window of an earlier
+    stretch, or of itself further up."""
     seen: dict[bytes, int] = {}
     fresh = [i for i, t in enumerate(tokens) if seen.setdefault(t, i) == i]
-    sizes = np.array([len(tokens[i]) // BYTES for i in fresh])
-    raw = np.zeros((int(sizes.sum()), 8), np.uint8)
-    raw[:, :BYTES] = np.frombuffer(b"".join(tokens[i] for i in fresh), np.uint8).reshape(-1, BYTES)
-    _, symbols = np.unique(raw.view(np.uint64).ravel(), return_inverse=True)
+    words = [tokens[i].split(b" ") for i in fresh]
+    sizes = np.array([len(w) for w in words])
+    number: dict[bytes, int] = {}
+    symbols = np.fromiter((number.setdefault(w, len(number)) for x in words for w in x), np.int64, int(sizes.sum()))
     begins = np.cumsum(sizes + 1) - sizes - 1
     text = np.zeros(int(sizes.sum()) + len(sizes), np.int64)  # a 0 behind each stretch
     text[np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))] = symbols + 1
@@ -213,7 +215,7 @@ def repeated_windows(tokens: list[bytes]) -> list[np.ndarray]:
         earliest = np.minimum.reduceat(np.append(index.places, len(text)), np.stack([lows, high[first]], axis=1).ravel())[::2]
         repeat[alive] = start[alive] > earliest[np.searchsorted(lows, low)]
     parts = dict(zip(fresh, np.split(repeat, np.cumsum(windows)[:-1])))
-    return [parts[i] if i in parts else np.ones(len(t) // BYTES - WINDOW + 1, bool) for i, t in enumerate(tokens)]
+    return [parts[i] if i in parts else np.ones(t.count(b" ") + 2 - WINDOW, bool) for i, t in enumerate(tokens)]
 
 
 def _spans(found: np.ndarray) -> list[tuple[int, int]]:
@@ -234,7 +236,8 @@ def _searched(table: pa.Table, hot: int | None) -> pa.Table:
     for i, found in zip(order, repeated_windows([tokens[i] for i in order]) if order else []):
         out += [(docs[i], keys[i], at[i] + a, at[i] + b + WINDOW - 1, 0, None) for a, b in _spans(found)]
         if hot is not None and n[i] > hot:
-            out += [(docs[i], keys[i], at[i] + w, 0, 0, tokens[i][w * BYTES : (w + WINDOW) * BYTES]) for w in np.flatnonzero(~found).tolist()]
+            words = tokens[i].split(b" ")
+            out += [(docs[i], keys[i], at[i] + w, 0, 0, b" ".join(words[w : w + WINDOW])) for w in np.flatnonzero(~found).tolist()]
     kept = ["doc", "key", "at", "until", "n", "tokens"]
     new = pa.table({c: pa.array([r[k] for r in out], table.schema.field(c).type) for k, c in enumerate(kept)})
     return pa.concat_tables([done.select(kept), new])
@@ -250,7 +253,7 @@ def repeats(keyed: DataFrame) -> DataFrame:
     shards = max(1, round((twice.agg(F.sum("n")).first()[0] or 0) / SHARD))
     same = lambda a, b: a["doc"].eqNullSafe(b["doc"]) & (a["key"] == b["key"])
     wanted = met.join(twice, "anchor").groupBy("doc", "key").agg(F.collect_set(F.struct("anchor", "n")).alias("anchors"))
-    cut = keyed.join(wanted, same(keyed, wanted)).select(keyed["doc"], keyed["key"], hashes, "anchors")
+    cut = keyed.join(wanted, same(keyed, wanted)).select(keyed["doc"], keyed["key"], hashes, "anchors", "text")
     pieces = cut.mapInArrow(_cut, f"anchor long, n long, {ids}, at long, tokens binary")
     part = F.pmod(F.xxhash64("doc", "key"), F.ceil(F.col("n") / HOT))
     dealt = pieces.select(F.pmod(F.xxhash64("anchor", part), F.lit(shards)).alias("shard"), "doc", "key", "at", F.lit(0).cast("long").alias("until"), "n", "tokens")
@@ -288,7 +291,7 @@ def without_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
 
     own = without(docs, "n_words", "n_removed", "kept_text")
     rest = [c for c in own.columns if c not in (doc, text)]
-    keyed = own.select(F.col(doc).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("key"), *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []))
+    keyed = own.select(F.col(doc).alias("doc"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []))
     found = repeats(keyed.select("doc", "key", "text")).withColumnsRenamed({"doc": "_gone_doc", "key": "_gone_key"})
     joined = keyed.join(found, F.col("doc").eqNullSafe(F.col("_gone_doc")) & (F.col("key") == F.col("_gone_key")), "left")
     out = joined.withColumn("_kept", remove(F.col("text"), F.col("spans")))
