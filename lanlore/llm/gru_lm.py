@@ -4,9 +4,9 @@ Words are lower-cased (A-Z) and end with an end token. The model's vocabulary is
 training words; every other word is one token for the network and then drawn from the smoothed frequencies of the words
 outside the vocabulary, so the probabilities of all texts sum to one. An output is a class, then a word of that class.
 
-Training is truncated backpropagation in numpy. `TRAIN_SHARE` of the training documents, drawn by a hash of their id,
-are dealt to replicas, which grow in number with the input up to `MOST_REPLICAS`. In each round every replica goes on
-from the average of all, over its own documents; averages are taken in pieces on the executors.
+Training is truncated backpropagation in numpy. All training documents are dealt to replicas by a hash, which grow in
+number with the input up to `MOST_REPLICAS`. In each round every replica goes on from the average of all, over its own
+documents, of which it holds `HELD_TOKENS` at a time; averages are taken in pieces on the executors.
 
 Scoring reads every text whole. Documents are laid end to end in lanes; a lane's state starts anew with each document and
 is carried from window to window within one. Counts of the training words are a table, joined to the words of the texts:
@@ -19,7 +19,7 @@ counts are 0 and the network scores all of its tokens alike. A null id is an id.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,12 +37,11 @@ WINDOW = 32
 LANES, TRAIN_LANES = 256, 64
 ROUNDS = 3
 RATE = 0.01
-#: Share of the training documents that the network is trained on, and training tokens below which it is all of them.
-TRAIN_SHARE = 1 / 32
-TRAIN_TOKENS = 1_000_000
 #: Tokens a replica is meant to see in a round, and the number of replicas at most.
 REPLICA_TOKENS = 500_000
 MOST_REPLICAS = 64
+#: Tokens of documents that a replica holds, and takes in mixed order, at a time.
+HELD_TOKENS = 4_000_000
 #: Words whose counts are sent to every executor.
 KNOWN = 2**18
 END, OTHER = 0, 1
@@ -197,16 +196,33 @@ def scores(p: dict, documents: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def trained(p: dict, documents: list[np.ndarray], seed: int = 0) -> dict:
-    """One pass of truncated backpropagation with Adam over the documents."""
-    if not documents:
-        return p
+def _mixed(documents: Iterable[np.ndarray], seed: int) -> Iterator[list[np.ndarray]]:
+    """All documents in groups of `TRAIN_LANES` * 8 at most; the order is mixed within each `HELD_TOKENS`."""
+    draw = np.random.default_rng(seed)
+    held, tokens = [], 0
+
+    def groups() -> Iterator[list[np.ndarray]]:
+        order = draw.permutation(len(held))
+        for first in range(0, len(order), TRAIN_LANES * 8):
+            yield [held[i] for i in order[first : first + TRAIN_LANES * 8]]
+
+    for d in documents:
+        held.append(d)
+        tokens += len(d)
+        if tokens >= HELD_TOKENS:
+            yield from groups()
+            held, tokens = [], 0
+    yield from groups()
+
+
+def trained(p: dict, documents: Iterable[np.ndarray], seed: int = 0) -> tuple[dict, int]:
+    """The parameters after one pass of truncated backpropagation with Adam over the documents, and their tokens."""
     p = {k: v.copy() for k, v in p.items()}
     mean, square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    order = np.random.default_rng(seed).permutation(len(documents))
-    step = 0
-    for first in range(0, len(order), TRAIN_LANES * 8):
-        targets, begins, _ = in_lanes([documents[i] for i in order[first : first + TRAIN_LANES * 8]], TRAIN_LANES)
+    step = tokens = 0
+    for group in _mixed(documents, seed):
+        tokens += sum(map(len, group))
+        targets, begins, _ = in_lanes(group, TRAIN_LANES)
         state = np.zeros((targets.shape[1], HIDDEN), np.float32)
         for part, inputs, starts in _windows(targets, begins):
             real = targets[part] >= 0
@@ -226,7 +242,7 @@ def trained(p: dict, documents: list[np.ndarray], seed: int = 0) -> dict:
                 mean[k] += np.float32(0.1) * (g - mean[k])
                 square[k] += np.float32(0.01) * (g * g - square[k])
                 p[k] -= rate * mean[k] / (np.sqrt(square[k]) + np.float32(1e-7))
-    return p
+    return p, tokens
 
 
 def _flat(p: dict) -> np.ndarray:
@@ -282,22 +298,20 @@ def train(training: DataFrame, words: Words, doc: str = "doc_id", text: str = "t
     if not words.total:
         return p
     spark = training.sparkSession
-    share = min(1.0, max(TRAIN_SHARE, TRAIN_TOKENS / words.total))
-    replicas = int(min(MOST_REPLICAS, max(1, round(share * words.total / REPLICA_TOKENS))))
+    replicas = int(min(MOST_REPLICAS, max(1, round(words.total / REPLICA_TOKENS))))
     draw = F.xxhash64(F.col(doc), F.lit(3))
-    sample = training.where(F.pmod(draw, F.lit(1_000_003)) < share * 1_000_003).select(F.pmod(F.xxhash64(draw, F.col(text)), F.lit(replicas)).alias("replica"), F.col(text).alias("text"))
-    sample = cut_lineage(sample.repartition(replicas, "replica").sortWithinPartitions("replica", F.xxhash64("text")))
+    dealt = training.select(F.pmod(F.xxhash64(draw, F.col(text)), F.lit(replicas)).alias("replica"), F.col(text).alias("text"))
+    dealt = cut_lineage(dealt.repartition(replicas, "replica").sortWithinPartitions("replica", F.xxhash64("text")))
     size = len(_flat(p))
     for number in range(ROUNDS):
         shared = spark.sparkContext.broadcast((p, words.ids))
 
         def replica(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
             start, ids = shared.value
-            documents = [ids_of(words_of(t), ids) for b in batches for t in b.column(0).to_pylist()]
-            if documents:
-                flat = _flat(trained(start, documents, number))
+            after, tokens = trained(start, (ids_of(words_of(t), ids) for b in batches for t in b.column(0).to_pylist()), number)
+            if tokens:
+                flat = _flat(after)
                 pieces = [flat[i : i + PIECE] for i in range(0, len(flat), PIECE)]
-                tokens = sum(map(len, documents))
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces))), pa.array([tokens] * len(pieces)), pa.array([x.tobytes() for x in pieces])], ["piece", "tokens", "weights"])
 
         def averaged(table: pa.Table) -> pa.Table:
@@ -307,7 +321,7 @@ def train(training: DataFrame, words: Words, doc: str = "doc_id", text: str = "t
             mean = (rows * (tokens[order] / tokens.sum())[:, None]).sum(axis=0).astype(np.float32)
             return pa.table({"piece": table.column("piece")[:1], "weights": [mean.tobytes()]})
 
-        trained_ = sample.select("text").mapInArrow(replica, "piece long, tokens long, weights binary")
+        trained_ = dealt.select("text").mapInArrow(replica, "piece long, tokens long, weights binary")
         pieces = trained_.groupBy("piece").applyInArrow(averaged, "piece long, weights binary").collect()
         flat = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(pieces)]) if pieces else _flat(p)
         assert len(flat) == size

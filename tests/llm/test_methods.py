@@ -1,5 +1,6 @@
 """The methods against plain versions of what they compute."""
 
+import dataclasses
 import random
 import re
 import zlib
@@ -298,6 +299,22 @@ def test_rare_words_meet_their_counts_in_a_join(spark, docs, monkeypatch):
         assert r["n_known"] == whole[r["doc"]]["n_known"] and r["base_score"] == pytest.approx(whole[r["doc"]]["base_score"], rel=1e-9)
 
 
+def test_every_training_document_reaches_the_network(spark, monkeypatch):
+    monkeypatch.setattr(gru_lm, "ROUNDS", 1)
+    few = spark.createDataFrame([(i, f"only{i} here{i}") for i in range(300)], "doc_id long, text string")
+    words = gru_lm.learn_words(gru_lm.count_words(few))
+    p = gru_lm.train(few, dataclasses.replace(words, total=40_000_000))  # as many replicas as for a large table
+    moved = (p["embed"] != gru_lm.fresh(words.priors)["embed"]).any(axis=1)
+    assert all(moved[i] for i in words.ids.values())
+
+
+def test_a_replica_takes_all_documents_a_part_at_a_time(monkeypatch):
+    monkeypatch.setattr(gru_lm, "HELD_TOKENS", 100)
+    documents = [np.full(1 + i % 7, i) for i in range(1500)]
+    groups = list(gru_lm._mixed(iter(documents), 1))
+    assert sorted(d[0] for g in groups for d in g) == list(range(1500)) and max(map(len, groups)) <= 100
+
+
 # The pipeline
 
 
