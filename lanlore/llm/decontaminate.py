@@ -11,7 +11,7 @@ on only by windows that have nothing rarer. Terms and windows of the test items
 is measured; else the joins shuffle.
 
 Defined results: a null or empty text has no words and no hits. An item without words has no window. Repeated items
-count once; a null item id is the item ''. Rows that share a document id, or have none, are judged by their own text.
+count once; a null item id is the item ''. Items that share an id with different texts each have their windows. Rows that share a document id, or have none, are judged by their own text.
 Columns of the input that bear a name of the operator's own are replaced.
 """
 
@@ -44,10 +44,13 @@ def if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def item_windows(items: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(item, at, terms): every run of `window` words of each item; an item of fewer words is one window."""
+    """(item, at, key, terms): every run of `window` words of each item; an item of fewer words is one window.
+
+    `key`, a hash of the terms, tells apart windows of items that share an id.
+    """
     words = items.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), bare_words(text).alias("words")).where(F.size("words") > 0)
     last = F.greatest(F.size("words") - window, F.lit(0))
-    return words.select("item", "words", F.explode(F.sequence(F.lit(0), last)).alias("at")).select("item", "at", F.slice("words", F.col("at") + 1, window).alias("terms")).distinct()
+    return words.select("item", "words", F.explode(F.sequence(F.lit(0), last)).alias("at")).select("item", "at", F.slice("words", F.col("at") + 1, window).alias("terms")).distinct().select("item", "at", F.xxhash64("terms").alias("key"), "terms")
 
 
 def positional_index(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -57,11 +60,11 @@ def positional_index(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", tex
 
 
 def rarest_terms(docs: DataFrame, windows: DataFrame, text: str = "text", lists: int = LISTS) -> DataFrame:
-    """(term, item, at, offset, n_lists): the terms whose postings find each window. Windows with a term that no text has are left out."""
-    placed = windows.select("item", "at", F.posexplode("terms").alias("offset", "term"))
+    """(term, item, at, key, offset, rank, n_lists): the terms whose postings find each window. Windows with a term that no text has are left out."""
+    placed = windows.select("item", "at", "key", F.posexplode("terms").alias("offset", "term"))
     words = docs.select(F.explode(bare_words(text)).alias("term"))
     counted = words.join(if_small(placed.select("term").distinct()), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    of = Window.partitionBy("item", "at")
+    of = Window.partitionBy("item", "at", "key")
     ranked = (
         placed.join(counted, "term", "left")
         .withColumn("gap", F.max(F.col("n").isNull()).over(of))
@@ -70,7 +73,7 @@ def rarest_terms(docs: DataFrame, windows: DataFrame, text: str = "text", lists:
         .where(F.col("rank") <= lists)
         .withColumn("n_lists", F.count(F.lit(1)).over(of))
     )
-    return cut_lineage(ranked.select("term", "item", "at", "offset", "rank", "n_lists"))
+    return cut_lineage(ranked.select("term", "item", "at", "key", "offset", "rank", "n_lists"))
 
 
 def candidates(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = 0) -> DataFrame:
@@ -83,11 +86,11 @@ def candidates(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
     if slop:  # the rarest term says where the window starts; the others may stand a little off
         starts = starts.withColumn("start", F.explode(F.when(F.col("rank") == 1, F.array("start")).otherwise(F.transform(shifts, lambda d: F.col("start") + d))))
     agreed = (
-        starts.groupBy("doc", "item", "at", "start")
+        starts.groupBy("doc", "item", "at", "key", "start")
         .agg(F.count_distinct("rank").alias("n"), F.max("n_lists").alias("n_lists"), F.max((F.col("rank") == 1).cast("int")).alias("led"))
         .where((F.col("n") == F.col("n_lists")) & (F.col("led") == 1))
     )
-    return agreed.join(if_small(windows), ["item", "at"]).groupBy("doc").agg(F.collect_list(F.struct("item", "at", "start", "terms")).alias("found"))
+    return agreed.join(if_small(windows), ["item", "at", "key"]).groupBy("doc").agg(F.collect_list(F.struct("item", "at", "start", "terms")).alias("found"))
 
 
 def with_matches(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -59,6 +59,16 @@ def test_decontamination(docs, none, items):
     assert kept.columns == docs.columns and kept.count() == 7
 
 
+def test_items_that_share_an_id_are_all_looked_for(spark):
+    first, second, third = (" ".join(f"{c}{i}" for i in range(20)) for c in "pqr")
+    docs = spark.createDataFrame([(1, f"so {first} on"), (2, f"and {second} on"), (3, f"or {third} on"), (4, "so and or on")], "doc_id long, text string")
+    for ids in (None, None, None), ("i", "i", "i"):
+        shared = spark.createDataFrame(list(zip(ids, (first, second, third + " unheard of"))), "item_id string, text string")
+        out = decontaminate.with_verdict(docs, shared)
+        assert by_id(out, "n_hit") == {1: [20], 2: [20], 3: [20], 4: [0]} and by_id(out, "contaminated") == {1: [True], 2: [True], 3: [True], 4: [False]}
+        assert [r["doc_id"] for r in decontaminate.keep_clean(docs, shared).collect()] == [4]
+
+
 def test_decontamination_finds_near_phrases(docs, items):
     wide = decontaminate.with_matches(docs.withColumn("text", F.regexp_replace("text", "goes home", "goes back home")), items.where("text is not null"), slop=2)
     found = wide.where("doc_id = 1").select(F.explode("matches").alias("m")).select("m.*")
