@@ -33,44 +33,54 @@ def mod2_forest(spark, sf):
     return classify.random_forest(data, WIDE).score(data).select("vec_id", "label", "prediction", "confidence")
 
 
+def _named(chosen):
+    """Chosen parameters as text."""
+    return F.lit(", ".join(f"{k}={v}" for k, v in sorted(chosen.items()) if k != "macro_f1"))
+
+
 @query()
 def mod3_tuned_forest(spark, sf):
     data = wide_embeddings(spark, sf, 2)
-    grid = {"numTrees": [20], "maxDepth": [4, 8], "minInstancesPerNode": [1, 4]}
-    model, chosen = classify.tuned_forest(data, WIDE, "vec_id", grid=grid, folds=3)
-    best = F.lit(", ".join(f"{k}={v}" for k, v in sorted(chosen.items()) if k != "macro_f1"))
-    return model.score(data).select("vec_id", "label", "prediction", best.alias("chosen"))
+    model, chosen = classify.tuned_forest(data, WIDE, "vec_id")
+    return model.score(data).select("vec_id", "label", "prediction", _named(chosen).alias("chosen"))
+
+
+@query()
+def mod3_tuned_booster(spark, sf):
+    data = wide_embeddings(spark, sf, 2)
+    model, chosen = classify.tuned_booster(data, WIDE, "vec_id")
+    return model.score(data).select("vec_id", "label", "prediction", _named(chosen).alias("chosen"))
 
 
 @query()
 def mod4_boosted(spark, sf):
     data = wide_embeddings(spark, sf, 3)
-    return classify.boosted(data, WIDE, rounds=20).score(data).select("vec_id", "label", "prediction", "confidence")
+    return classify.boosted(data, WIDE).score(data).select("vec_id", "label", "prediction", "confidence")
 
 
 @query()
 def mod5_second_booster(spark, sf):
     data = wide_embeddings(spark, sf, 2)
-    return classify.second_booster(data, WIDE, rounds=20).score(data).select("vec_id", "label", "prediction", "confidence")
+    return classify.second_booster(data, WIDE).score(data).select("vec_id", "label", "prediction", "confidence")
 
 
 @query()
 def mod6_ensemble(spark, sf):
     data = wide_embeddings(spark, sf, 2)
-    members = [classify.random_forest(data, WIDE, trees=50), classify.boosted(data, WIDE, rounds=20)]
+    members = [classify.random_forest(data, WIDE), classify.boosted(data, WIDE)]
     return classify.Ensemble(members).score(data).select("vec_id", "label", "prediction", "confidence")
 
 
 @query()
 def mod7_importances(spark, sf):
-    return classify.random_forest(wide_embeddings(spark, sf, 10), WIDE, trees=50).importances()
+    return classify.random_forest(wide_embeddings(spark, sf, 10), WIDE).importances()
 
 
 @query()
 def ord2_top_features(spark, sf):
     from ..operators.summary import top_features
 
-    return top_features(classify.random_forest(wide_embeddings(spark, sf, 10), WIDE, trees=50).importances(), 15)
+    return top_features(classify.random_forest(wide_embeddings(spark, sf, 10), WIDE).importances(), 15)
 
 
 @query()
