@@ -3,9 +3,10 @@
 A page is cut into blocks at block-level tags. The first pass decides blocks by themselves: those inside menus, headers,
 footers, sidebars, notices, adverts, forms and reader comments (known by element, role, or words of class and id) are
 out; those inside an article or main element are in unless they are mostly links; all others are judged by stop-word
-density, length and link density, and short ones stay undecided. The second pass gives undecided blocks the label of
-the nearest decided neighbour; where both sides are as near and differ, headings follow what comes next and other
-blocks are left out. On a page without a block that is surely main text, all undecided ones are kept. A page with an
+density, length and link density; short ones stay undecided, and long ones with few links and few stop words too. The
+second pass gives undecided blocks the label of the nearest decided neighbour; where both sides are as near and differ,
+headings follow what comes next and other blocks are left out. Long ones are kept if the nearest on either side is. On a
+page with hardly any listed stop word, length and link density alone decide. On a page without a block that is surely main text, all undecided ones are kept. A page with an
 article keeps only what is inside it.
 
 Scripts, styles and other raw elements never become text. Character references are decoded, white space within a block
@@ -51,6 +52,8 @@ STOP_WORDS = set(
 
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.2, 0.3
+#: Share of stop words in the long blocks of a page under which its language is taken to be none of the listed ones.
+STOP_HARDLY = 0.05
 LINKS_HIGH = 0.2
 MOSTLY_LINKS = 0.5
 
@@ -147,11 +150,21 @@ def blocks_of(html: str) -> list[tuple[str, int, str, bool]]:
     return out
 
 
+def _stops(text: str) -> tuple[int, int]:
+    """Stop words and words of a text."""
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
 def labels_of(blocks: list[tuple[str, int, str, bool]]) -> list[bool]:
     """Which blocks are main text."""
     whole = any(place == "in" for _, _, place, _ in blocks)
+    found = {}
+    if not whole:
+        found = {i: _stops(text) for i, (text, linked, place, _) in enumerate(blocks) if place != "out" and len(text) >= LENGTH_LOW and linked <= LINKS_HIGH * len(text)}
+    unlisted = sum(s for s, _ in found.values()) < STOP_HARDLY * sum(n for _, n in found.values())
     decided: list[bool | None] = []
-    for text, linked, place, heading in blocks:
+    for i, (text, linked, place, _) in enumerate(blocks):
         links = linked / len(text)
         if place == "out" or (whole and place != "in"):
             decided.append(False)
@@ -161,10 +174,11 @@ def labels_of(blocks: list[tuple[str, int, str, bool]]) -> list[bool]:
             decided.append(False)
         elif len(text) < LENGTH_LOW:
             decided.append(None if not linked else False)
+        elif unlisted:
+            decided.append(True if len(text) >= LENGTH_HIGH else None)
         else:
-            words = _WORD.findall(text.lower())
-            stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-            decided.append(True if stops >= STOP_HIGH or (stops >= STOP_LOW and len(text) >= LENGTH_HIGH) else None if stops >= STOP_LOW else False)
+            stops = found[i][0] / max(found[i][1], 1)
+            decided.append(True if stops >= STOP_HIGH or (stops >= STOP_LOW and len(text) >= LENGTH_HIGH) else None)
     if not any(decided):  # nothing is surely main text: what is not surely something else is
         return [d is None for d in decided]
     before, after = [], []
@@ -180,6 +194,8 @@ def labels_of(blocks: list[tuple[str, int, str, bool]]) -> list[bool]:
             b, a = before[i], after[i]
             if b is None or a is None:
                 d = decided[a if b is None else b]
+            elif i in found:
+                d = decided[b] or decided[a]
             elif decided[b] == decided[a]:
                 d = decided[b]
             elif i - b != a - i:

@@ -130,6 +130,23 @@ def test_articles_of_the_pages(spark):
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+def test_articles_without_their_tags(spark):
+    for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect():
+        bare = html_text.text_of(re.sub("</?article>", "", r["html"]))[0].split("\n")
+        long = [p for p in html_text.text_of(r["html"])[0].split("\n") if len(p) >= html_text.LENGTH_LOW]
+        assert set(long) <= set(bare)
+
+
+def test_long_blocks_with_few_stop_words():
+    sure, few = "it was in the house and on the hill that they had been with her " * 4, "granite quarries supply polished countertops across northern provinces every season"
+    menu, foot = "<nav>Home</nav>", "<footer>Imprint</footer>"
+    got = html_text.text_of(f"{menu}<p>{few} one</p><p>{few} two</p><p>{few} three</p><p>{sure}</p><p>{few} four</p>{foot}")[0].split("\n")
+    assert got == [f"{few} one", f"{few} two", f"{few} three", sure.strip(), f"{few} four"]
+    other = "Kissa istui ikkunalla katsellen sateista katua kunnes illan viimeinen raitiovaunu kolisi ohi " * 3
+    got = html_text.text_of(f"{menu}<div><a href='/'>Etusivu</a></div><p>{other}</p><p>{other}</p><div>Kirjaudu</div>{foot}")[0].split("\n")
+    assert got[:2] == [other.strip()] * 2
+
+
 def test_pages_without_an_article():
     long = "This is the story of a man who was in the town and it was not as he had thought it to be when he came to it with his friends."
     page = f"""<html><head><title>t</title><script>if (a<b) "</p>"</script></head><body><div class="cookie-notice"><p>{long}</p></div><header><h1>Site</h1></header>
