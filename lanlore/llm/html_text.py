@@ -13,7 +13,8 @@ Scripts, styles and other raw elements never become text. Character references a
 becomes one space, blocks are joined by a line break in page order; nothing else is dropped or cut.
 
 Defined results: a null or empty page has an empty text. Unclosed and stray tags are tolerated: a block-level tag ends
-the block before it, an end tag closes all that was opened inside. `main` replaces a column of that name.
+the block before it, an end tag closes all that was opened inside. Of the raw elements only script, style, textarea and
+title take the rest of the page if they are not closed; of others just the tag is skipped. `main` replaces a column of that name.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from .text import without
 
 # Elements of HTML by their role here.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "select", "button", "object", "canvas", "video", "audio"}
+SWALLOWING = {"script", "style", "textarea", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CONTAINERS = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figure", "footer", "form",
@@ -81,6 +83,18 @@ def _placed(tag: str, attributes: str, within: str) -> str:
     return "in" if tag in INSIDE else within
 
 
+def _raw_ends(html: str, name: str) -> dict[int, int]:
+    """Where each closed element `name` ends, by where it starts; an end tag closes the last one open."""
+    ends, opened = {}, []
+    for tag in re.finditer(rf"<(/?){name}(?![\w:-])[^>]*>?", html, re.I):
+        if not tag[1]:
+            if not tag[0].rstrip(">").rstrip().endswith("/"):
+                opened.append(tag.start())
+        elif opened:
+            ends[opened.pop()] = tag.end()
+    return ends
+
+
 def blocks_of(html: str) -> list[tuple[str, int, str, bool]]:
     """(text, characters in links, place, heading) of each block with text, in page order."""
     out: list[tuple[str, int, str, bool]] = []
@@ -97,6 +111,7 @@ def blocks_of(html: str) -> list[tuple[str, int, str, bool]]:
         parts, linked, in_link, breaks, heading, own = [], 0, 0, 0, False, ""
 
     at, size = 0, len(html)
+    raw_ends: dict[str, dict[int, int]] = {}
     while at < size:
         mark = html.find("<", at)
         tag = _TAG.match(html, mark) if mark >= 0 else None
@@ -118,8 +133,13 @@ def blocks_of(html: str) -> list[tuple[str, int, str, bool]]:
         closing = tag[1] == "/"
         if name in RAW and not closing:
             if not tag[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{name}\b[^>]*>?", re.I).search(html, at)
-                at = close.end() if close else size
+                if name in SWALLOWING:
+                    close = re.compile(rf"</{name}\b[^>]*>?", re.I).search(html, at)
+                    at = close.end() if close else size
+                else:
+                    if name not in raw_ends:
+                        raw_ends[name] = _raw_ends(html, name)
+                    at = raw_ends[name].get(mark, at)
             continue
         if name == "a":
             in_link = 0 if closing else 1

@@ -147,6 +147,14 @@ def test_long_blocks_with_few_stop_words():
     assert got[:2] == [other.strip()] * 2
 
 
+def test_unclosed_raw_elements():
+    for name in html_text.RAW - html_text.SWALLOWING:
+        assert html_text.text_of(f"<article><p>One</p><{name} class='x'><p>Two</p><{name}>no</{name}><p>Three</p></article>")[0] == "One\nTwo\nThree"
+        assert html_text.text_of(f"<article><p>One</p><{name}><{name}>no</{name}>no</{name}><{name}/><p>Two</p></article>")[0] == "One\nTwo"
+    for name in html_text.SWALLOWING:
+        assert html_text.text_of(f"<article><p>One</p><{name}><p>no</p></article>")[0] == "One"
+
+
 def test_pages_without_an_article():
     long = "This is the story of a man who was in the town and it was not as he had thought it to be when he came to it with his friends."
     page = f"""<html><head><title>t</title><script>if (a<b) "</p>"</script></head><body><div class="cookie-notice"><p>{long}</p></div><header><h1>Site</h1></header>
