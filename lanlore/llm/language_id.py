@@ -185,8 +185,22 @@ def _smoothed(counts: pd.DataFrame, languages: list[str]) -> Models:
     return models
 
 
-def _calibrated(models: Models, texts: list[str], truth: np.ndarray) -> None:
-    entropy = models.cross_entropies(texts)
+def _held_entropies(held: DataFrame, models: Models) -> tuple[np.ndarray, np.ndarray]:
+    """Cross-entropies of the texts under all languages, and each text's own; the texts stay on the executors."""
+    shared = held.sparkSession.sparkContext.broadcast(models)
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                entropy = np.asarray(shared.value.cross_entropies(batch.column(1).to_pylist()), np.float64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(entropy.tolist(), pa.list_(pa.float64()))], ["lang", "entropy"])
+
+    found = held.select("lang", "text").mapInArrow(judged, "lang string, entropy array<double>").where(F.col("lang").isin(models.languages)).collect()
+    truth = np.searchsorted(models.languages, np.array([r["lang"] for r in found], str))
+    return np.array([r["entropy"] for r in found]), truth
+
+
+def _calibrated(models: Models, entropy: np.ndarray, truth: np.ndarray) -> None:
     own = entropy[np.arange(len(truth)), truth]
     best = (np.inf, 1.0)
     for t in np.geomspace(0.5, 64, 15):
@@ -219,10 +233,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc: str = "doc
     languages = sorted(counts["lang"].unique())
     models = _smoothed(counts, languages)
     models.limits, models.spread = np.full(len(languages), np.inf), np.ones(len(languages))
-    held = drawn.where(F.col("rank") % HELD_BACK == 0).select("lang", "text").toPandas()
-    held = held[held["lang"].isin(languages)]
-    if len(held):
-        _calibrated(models, held["text"].tolist(), np.searchsorted(languages, held["lang"].to_numpy(str)))
+    entropy, truth = _held_entropies(drawn.where(F.col("rank") % HELD_BACK == 0), models)
+    if len(truth):
+        _calibrated(models, entropy, truth)
     return models
 
 

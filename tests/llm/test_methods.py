@@ -227,6 +227,17 @@ def test_languages_of_documents_held_out(spark, docs):
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) >= 0.95 and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_calibration_brings_no_text_to_the_driver(spark, docs, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    brought = []
+    for name in ("toPandas", "collect"):
+        monkeypatch.setattr(DataFrame, name, lambda self, real=getattr(DataFrame, name): brought.append(self.columns) or real(self))
+    models = language_id.fit(docs)
+    assert brought and not any("text" in c for c in brought)
+    assert np.isfinite(models.limits).all() and (models.spread > 0).all()
+
+
 def test_character_models_sum_to_one(spark):
     df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("abab abba", "x"), ("ba ab", "x"), ("cacc a", "y")] * 3)], "doc_id long, text string, lang string")
     models = language_id.fit(df)
