@@ -281,3 +281,37 @@ def op4_substring_dedup(spark, sf):
 
     left = without_repeats(table(spark, sf, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+# 13. Conversation prefix trie
+
+
+def trie_sql() -> str:
+    """CRC-32 bit by bit, prefixes as lists of turns, and for each node the nodes above it."""
+    bits = "list_reduce(list_prepend(xor(acc, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))"
+    codes = "list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))"
+    crc = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda acc, b: {bits}), 4294967295)"
+    return f"""
+turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, sha256(CAST(octet_length(CAST(role AS BLOB)) AS VARCHAR) || ':' || role || text)) AS turns
+    FROM turns GROUP BY conv_id),
+drawn AS (SELECT conv_id, turns, {crc} % 6 AS h FROM own),
+rebuilt AS (SELECT d.conv_id, list_concat(coalesce(list_slice(b.turns, 1, h), []), list_slice(d.turns, h + 1, len(d.turns))) AS turns
+    FROM drawn d LEFT JOIN own b ON b.conv_id = d.conv_id - d.conv_id % 100),
+prefixes AS (SELECT conv_id AS c, d, len(turns) AS n, list_slice(turns, 1, d) AS prefix, turns[d].text AS last FROM rebuilt, unnest(range(0, len(turns) + 1)) AS r(d)),
+members AS (SELECT c, d, n, last, min(c) OVER (PARTITION BY d, prefix) AS node FROM prefixes),
+nodes AS (SELECT node, d, count(*) AS n_convs, bool_and(n = d) AS childless, CASE WHEN d = 0 THEN 0 ELSE max(length(last)) END AS chars,
+    sha256(coalesce(string_agg(CASE WHEN n = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends FROM members GROUP BY node, d),
+above AS (SELECT m.node AS top, m.d AS top_d, n.* FROM nodes n JOIN members m ON m.c = n.node AND m.d <= n.d),
+sums AS (SELECT top, top_d, count(*) FILTER (d = top_d + 1) AS n_children, count(*) FILTER (childless) AS n_leaves, sum((n_convs - 1) * chars) AS saved FROM above GROUP BY top, top_d)"""
+
+
+@query(
+    f"WITH {trie_sql()} SELECT n.node AS conv_id, CAST(n.d AS BIGINT) AS depth, p.node AS parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends AS ends_sha256 "
+    "FROM nodes n JOIN sums s ON n.node = s.top AND n.d = s.top_d LEFT JOIN members p ON p.c = n.node AND p.d = n.d - 1"
+)
+def op13_prefix_trie(spark, sf):
+    from .prefix_trie import prefix_trie, rebuilt
+
+    trie = prefix_trie(rebuilt(table(spark, sf, "conversations")))
+    return trie.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
