@@ -315,3 +315,14 @@ def op13_prefix_trie(spark, sf):
 
     trie = prefix_trie(rebuilt(table(spark, sf, "conversations")))
     return trie.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+# 12. Packing
+
+
+@query()
+def op12_packing(spark, sf):
+    from .packing import pack
+
+    names = {"doc": "doc_id", "crc": "ids_crc32", "n": "doc_tokens", "sequence": "sequence_id"}
+    return pack(table(spark, sf, "documents")).withColumnsRenamed(names)
