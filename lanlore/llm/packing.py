@@ -102,7 +102,7 @@ class Words:
             some = words[at : at + REMEMBERED // 4]
             if len(self.known) > REMEMBERED:
                 self.known = {}
-            missing = set(some) - self.known.keys()
+            missing = {w for w in set(some) if w not in self.known}
             if missing:
                 self._learn(missing)
             out.append(b"".join(map(self.known.__getitem__, some)))
