@@ -211,7 +211,7 @@ def block_nodes(ids: np.ndarray, keys: list[bytes], lens: list[np.ndarray], befo
     return out
 
 
-def _in_blocks(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _in_blocks(batches: Iterator[pa.RecordBatch], schema: pa.Schema, most: int) -> Iterator[pa.RecordBatch]:
     """Cut a partition's sorted conversations into blocks. One block is held back, for what it shares with the next."""
     ids: list[int] = []
     keys: list[bytes] = []
@@ -231,7 +231,7 @@ def _in_blocks(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator
         sizes = col["lens"]
         at, flat = sizes.offsets.to_numpy(), sizes.values.to_numpy(zero_copy_only=False)
         for i, (c, k) in enumerate(zip(col["conv_id"].to_pylist(), col["key"].to_pylist())):
-            if ids and weight + len(k) // WIDTH + 1 > BLOCK:
+            if ids and weight + len(k) // WIDTH + 1 > most:
                 shared = common(keys[-1], k)
                 yield emit(shared)
                 row, number, before, weight = row + len(ids), number + 1, shared, 0
@@ -297,7 +297,7 @@ def in_order(convs: DataFrame) -> DataFrame:
     return ordered.withColumn("part", F.spark_partition_id())
 
 
-def prefix_trie(convs: DataFrame) -> DataFrame:
+def prefix_trie(convs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row for each distinct prefix of the conversations (conv_id, key, lens).
 
     conv_id: the smallest member. first: its members are the conversations first .. first + n_convs - 1 of the order by
@@ -307,7 +307,7 @@ def prefix_trie(convs: DataFrame) -> DataFrame:
     arrow = lambda ddl: pa.schema([pa.field(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (c.split() for c in ddl.split(", "))])
     whole, ordered = arrow(SCHEMA), in_order(convs)
     placed = ordered.join(F.broadcast(_edges(ordered)), "part")
-    found = cut_lineage(placed.mapInArrow(lambda batches: _in_blocks(batches, whole), SCHEMA))
+    found = cut_lineage(placed.mapInArrow(lambda batches: _in_blocks(batches, whole, block), SCHEMA))
     names = [c.split()[0] for c in NODE.split(", ")]
 
     parts = found.where("state = 'part'")

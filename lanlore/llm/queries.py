@@ -326,3 +326,31 @@ def op12_packing(spark, sf):
 
     names = {"doc": "doc_id", "crc": "ids_crc32", "n": "doc_tokens", "sequence": "sequence_id"}
     return pack(table(spark, sf, "documents")).withColumnsRenamed(names)
+
+
+# 11. Ranked lexical search
+
+
+def search_sql(k: int = 10) -> str:
+    """Every document scored for every item."""
+    terms = f"regexp_extract_all({ASCII_LOWER.format("coalesce(text, '')")}, '{BARE}')"
+    return f"""
+texts AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS terms FROM documents),
+sized AS (SELECT r, doc_id, len(terms) AS n FROM texts WHERE len(terms) > 0),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sized),
+items AS (SELECT row_number() OVER () AS i, item_id, {terms} AS terms FROM (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark)),
+wanted AS (SELECT i, term, count(*) AS c FROM (SELECT i, unnest(terms) AS term FROM items) GROUP BY i, term),
+postings AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM texts) WHERE term IN (SELECT term FROM wanted) GROUP BY r, term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * max(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, totals GROUP BY term),
+hits AS (SELECT i, r, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+    FROM wanted JOIN postings USING (term) JOIN weights USING (term) JOIN sized USING (r), totals GROUP BY i, r),
+placed AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank
+    FROM hits JOIN items USING (i) JOIN sized USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM placed WHERE rank <= {k}"""
+
+
+@query(f"WITH {search_sql()}")
+def op11_ranked_search(spark, sf):
+    from .ranked_search import ranked_search
+
+    return ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=10)
