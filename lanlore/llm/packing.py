@@ -22,8 +22,10 @@ or none. An empty table gives an empty table. Other columns are not read.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ GAP = 1e-4
 #: Cells into which filler and rooms are cut to meet, in tokens.
 CELL = 512
 #: Words that a tokenizer remembers, and bytes of ids that it hands on at once.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 BATCH_BYTES = 16_000_000
 
 #: Letters that neither compose nor split, and marks that follow them as a token run of their own.
@@ -52,16 +54,16 @@ ASCII_SPACE = re.compile("[ \t\n\r\x0b\x0c]+")
 
 
 def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte: itself where it prints, else the next one from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in shown]
-    return {**{b: chr(b) for b in shown}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
+    """The letter that stands for a byte: itself where it prints, else the next one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
 
 
 class Words:
     """Ids of whole texts, word by word, for a tokenizer that drops white space; words seen are remembered.
 
-    Nothing such a tokenizer does reaches over white space, so a text's ids are its words' ids one after the other.
+    Nothing such a tokenizer does reaches over white space, so a text's ids are its words' ids one after the other. Ids are
+    32-bit little-endian, as machines that Spark runs on write them.
     """
 
     def __init__(self, path: str):
@@ -73,7 +75,7 @@ class Words:
         self.letters = _byte_letters()
 
     def _learn(self, words: set[str]) -> None:
-        known, model, letters, odd = self.known, self.whole.model, self.letters, []
+        known, tokenize, letters, odd = self.known, self.whole.model.tokenize, self.letters, []
         for w in words:
             m = PLAIN_WORD.fullmatch(w)
             if m is None:
@@ -83,17 +85,19 @@ class Words:
             low = core.lower()
             ids = known.get(low)
             if ids is None:
-                found = model.tokenize("".join([letters[b] for b in low.encode()]))
-                ids = known[low] = np.array([t.id for t in found], "<u4").tobytes()
-            known[w] = ids + self._encoded([tail])[0] if tail else ids
-        self._encoded(odd)
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        missing = [t for t in texts if t not in self.known]
-        if missing:
-            found = self.whole.encode_batch_fast(missing, add_special_tokens=False)
-            self.known.update((t, np.array(e.ids, "<u4").tobytes()) for t, e in zip(missing, found))
-        return [self.known[t] for t in texts]
+                found = tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(letters))
+                ids = known[low] = array("I", [t.id for t in found]).tobytes()
+            if tail:
+                if tail not in known:
+                    self._learn_whole([tail])
+                ids += known[tail]
+            known[w] = ids
+        self._learn_whole(odd)
+
+    def _learn_whole(self, texts: list[str]) -> None:
+        if texts:
+            found = self.whole.encode_batch_fast(texts, add_special_tokens=False)
+            self.known.update((t, array("I", e.ids).tobytes()) for t, e in zip(texts, found))
 
     def ids(self, text: str) -> bytes:
         words = ASCII_SPACE.split(text) if ODD_SPACE.search(text) else text.split()
@@ -109,6 +113,12 @@ class Words:
         return b"".join(out)
 
 
+@cache
+def words_of(path: str) -> Words:
+    """One per Python worker, so that a worker's later tasks find the words of its earlier ones."""
+    return Words(path)
+
+
 def tokenized(docs: DataFrame, doc: str = "doc_id", text: str = "text", tokenizer: str | None = None, end: int = END) -> DataFrame:
     """(row, doc, bucket, n, ids): a number for each row, its ids with the end token as little-endian 32-bit numbers; written once."""
     kind = docs.schema[doc].dataType.simpleString()
@@ -122,9 +132,9 @@ def tokenized(docs: DataFrame, doc: str = "doc_id", text: str = "text", tokenize
         if tokenizer is None:
             import public_tokenizers
 
-            words = Words(public_tokenizers.path("word_bpe_49k.json"))
+            words = words_of(public_tokenizers.path("word_bpe_49k.json"))
         else:
-            words = Words(tokenizer)
+            words = words_of(tokenizer)
         for batch in batches:
             at, size, ids = 0, 0, []
             texts = batch.column("text")
