@@ -11,7 +11,6 @@ from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasLabelCol, HasPredictionCol
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +20,8 @@ from ..operators.balance import fold_column
 from ..operators.evaluate import averages, class_report
 from ..operators.openset import soft_vote
 from ..operators.summary import class_balance, with_class_weight
+from ..session import cut_lineage
+from .search import nested_search
 
 
 def standardised(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -245,7 +246,7 @@ def tuned_forest(
     label: str = "label",
     grid: Mapping[str, Sequence] = FOREST_GRID,
     folds: int = 5,
-    parallelism: int = 4,
+    parallelism: int = 8,
     seed: int = 42,
 ) -> tuple[Classifier, dict]:
     """MOD3: the forest with the best mean macro F1 over stratified folds, and its parameters."""
@@ -260,7 +261,7 @@ def tuned_booster(
     label: str = "label",
     grid: Mapping[str, Sequence] = BOOSTER_GRID,
     folds: int = 3,
-    parallelism: int = 4,
+    parallelism: int = 8,
     seed: int = 42,
 ) -> tuple[Classifier, dict]:
     """MOD3 for two classes: the booster with the best macro F1; class weights are balanced."""
@@ -272,17 +273,10 @@ def _tuned(df, features, key, label, estimator, grid, folds, parallelism, seed):
     prepared = fold_column(with_class_weight(df, label), key, folds, label, seed)
     indexed = _clean_indexer(label).fit(prepared).transform(prepared)
     preparation_model = Pipeline(stages=preparation(features)).fit(indexed)
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(estimator.getParam(name), list(values))
-    search = CrossValidator(
-        estimator=estimator, estimatorParamMaps=builder.build(), evaluator=MacroF1(labelCol="label_index"),
-        numFolds=folds, foldCol="fold", parallelism=parallelism, seed=seed,
-    ).fit(preparation_model.transform(indexed))
-    best = max(range(len(search.avgMetrics)), key=lambda i: search.avgMetrics[i])
-    chosen = {p.name: v for p, v in search.getEstimatorParamMaps()[best].items()}
-    model = PipelineModel(stages=[*preparation_model.stages, search.bestModel])
-    return Classifier(model, class_list(df, label)), {**chosen, "macro_f1": float(search.avgMetrics[best])}
+    ready = cut_lineage(preparation_model.transform(indexed).select("features", "label_index", "weight", "fold"))
+    chosen, score, _ = nested_search(ready, estimator, grid, folds, parallelism)
+    best = estimator.fit(ready, {estimator.getParam(k): v for k, v in chosen.items()})
+    return Classifier(PipelineModel(stages=[*preparation_model.stages, best]), class_list(df, label)), {**chosen, "macro_f1": score}
 
 
 SAVE_ORDER = ("enhanced_ensemble", "enhanced_rf", "ensemble", "improved_rf", "baseline")
