@@ -4,9 +4,10 @@ Words are lower-cased (A-Z) and end with an end token. The model's vocabulary is
 training words; every other word is one token for the network and then drawn from the smoothed frequencies of the words
 outside the vocabulary, so the probabilities of all texts sum to one. An output is a class, then a word of that class.
 
-Training is truncated backpropagation in numpy. All training documents are dealt to replicas by a hash, which grow in
-number with the input up to `MOST_REPLICAS`. In each round every replica goes on from the average of all, over its own
-documents, of which it holds `HELD_TOKENS` at a time; averages are taken in pieces on the executors.
+Training is truncated backpropagation in numpy, one pass over all training documents. A hash deals them to rounds and
+replicas. In each round every replica goes on from the average of all, over documents of its own; averages are taken in
+pieces on the executors, in two steps. A replica sees about `REPLICA_TOKENS` in a round, so their number follows the input
+without a bound, and every size is trained alike.
 
 Scoring reads every text whole. Documents are laid end to end in lanes; a lane's state starts anew with each document and
 is carried from window to window within one. Counts of the training words are a table, joined to the words of the texts:
@@ -31,16 +32,15 @@ from ..session import cut_lineage
 from .resampling import kth_largest
 from .text import lower_ascii, split_words
 
-CLASSES, PER_CLASS = 64, 64
-HIDDEN = 32
+CLASSES, PER_CLASS = 32, 32
+HIDDEN = 16
 WINDOW = 32
-LANES, TRAIN_LANES = 256, 64
-ROUNDS = 3
+LANES, TRAIN_LANES = 512, 256
+ROUNDS = 4
 RATE = 0.01
-#: Tokens a replica is meant to see in a round, and the number of replicas at most.
+#: Tokens a replica is meant to see in a round.
 REPLICA_TOKENS = 500_000
-MOST_REPLICAS = 64
-#: Tokens of documents that a replica holds, and takes in mixed order, at a time.
+#: Tokens of documents that a replica lays out in lanes at a time.
 HELD_TOKENS = 4_000_000
 #: Words whose counts are sent to every executor.
 KNOWN = 2**18
@@ -76,78 +76,104 @@ def fresh(priors: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-x))
-
-
 def forward(p: dict, table: np.ndarray, inputs: np.ndarray, begins: np.ndarray, state: np.ndarray):
-    """Hidden states of a window (steps x lanes); `table` has what each input word adds to the gates."""
-    steps, keep = [], []
+    """Hidden states of a window (hidden x steps x lanes), what `backward` needs, and the last state (hidden x lanes).
+
+    `table` has what each input word adds to the gates. Lanes come last, so that every gate is one piece of memory.
+    """
+    table = np.ascontiguousarray(table.T)
+    alive = (~begins).astype(table.dtype)
+    recurrent, keep = np.ascontiguousarray(p["wh"].T), []
+    hidden = np.empty((HIDDEN, *inputs.shape), table.dtype)
     for t in range(len(inputs)):
-        state = np.where(begins[t][:, None], np.float32(0), state)
-        x, g = table[inputs[t]], state @ p["wh"]
-        zr = _sigmoid(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-        z, r, m = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, 2 * HIDDEN :]
-        n = np.tanh(x[:, 2 * HIDDEN :] + r * m)
-        keep.append((state, z, r, m, n))
-        state = n + z * (state - n)
-        steps.append(state)
-    return np.stack(steps), keep, state
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+        before, x = state * alive[t], table.take(inputs[t], axis=1)
+        g = recurrent @ before
+        zr = np.maximum(x[: 2 * HIDDEN] + g[: 2 * HIDDEN], -60)
+        np.negative(zr, zr)
+        np.exp(zr, zr)
+        zr += 1
+        np.reciprocal(zr, zr)
+        z, r, m = zr[:HIDDEN], zr[HIDDEN:], g[2 * HIDDEN :]
+        n = r * m
+        n += x[2 * HIDDEN :]
+        np.tanh(n, n)
+        keep.append((before, z, r, m, n))
+        state = before - n
+        state *= z
+        state += n
+        hidden[:, t] = state
+    return hidden, keep, state
+
+
+def _softmax(x: np.ndarray, target: np.ndarray, want: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log probability of each column's target; with `want`, the gradient of minus their sum, too."""
+    x -= x.max(axis=0)
+    at = np.arange(x.shape[1])
+    picked = x[target, at]
+    np.exp(x, x)
+    total = x.sum(axis=0)
+    logs = picked - np.log(total)
+    if not want:
+        return logs, None
+    x /= total
+    x[target, at] -= 1
+    return logs, x
 
 
 def outputs(p: dict, hidden: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Natural log probability of each target; with `grads`, adds to them and returns the gradient of the hidden states."""
-    group, place = targets // PER_CLASS, targets % PER_CLASS
-    row = np.arange(len(targets))
-    by_class = _log_softmax(hidden @ p["uc"] + p["bc"])
-    logs = by_class[row, group].astype(np.float64)
+    """Natural log probability of each target (hidden x targets); with `grads`, adds to them and returns the gradient of the hidden states."""
+    order = np.argsort(targets.astype(np.uint16), kind="stable")
+    sorted_ = targets[order]
+    hidden, group, place = hidden.take(order, axis=1), sorted_ // PER_CLASS, sorted_ % PER_CLASS
+    want = grads is not None
+    logs, d = _softmax(p["uc"].T @ hidden + p["bc"][:, None], group, want)
+    logs = logs.astype(np.float64)
     back = None
-    if grads is not None:
-        d = np.exp(by_class)
-        d[row, group] -= 1
-        grads["uc"] += hidden.T @ d
-        grads["bc"] += d.sum(axis=0)
-        back = d @ p["uc"].T
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(CLASSES + 1))
+    if want:
+        grads["uc"] += hidden @ d.T
+        grads["bc"] += d.sum(axis=1)
+        back = p["uc"] @ d
+    cuts = np.searchsorted(group, np.arange(CLASSES + 1))
     for c in np.flatnonzero(np.diff(cuts)):
-        at = order[cuts[c] : cuts[c + 1]]
-        h = hidden[at]
-        inside = _log_softmax(h @ p["uw"][c] + p["bw"][c])
-        here = np.arange(len(at))
-        logs[at] += inside[here, place[at]]
-        if grads is not None:
-            d = np.exp(inside)
-            d[here, place[at]] -= 1
-            grads["uw"][c] += h.T @ d
-            grads["bw"][c] += d.sum(axis=0)
-            back[at] += d @ p["uw"][c].T
-    return logs, back
+        part = slice(cuts[c], cuts[c + 1])
+        h = hidden[:, part]
+        inside, d = _softmax(p["uw"][c].T @ h + p["bw"][c][:, None], place[part], want)
+        logs[part] += inside
+        if want:
+            grads["uw"][c] += h @ d.T
+            grads["bw"][c] += d.sum(axis=1)
+            back[:, part] += p["uw"][c] @ d
+    out = np.empty_like(logs)
+    out[order] = logs
+    if want:
+        mixed = back
+        back = np.empty_like(mixed)
+        back[:, order] = mixed
+    return out, back
 
 
 def backward(p: dict, grads: dict, inputs: np.ndarray, begins: np.ndarray, keep: list, back: np.ndarray) -> None:
     """Truncated backpropagation through one window; `back` is the loss's gradient of the hidden states."""
-    d_state = np.zeros_like(back[0])
-    gates = np.empty((*inputs.shape, 3 * HIDDEN), np.float32)
+    d_state = np.zeros_like(back[:, 0])
+    alive = (~begins).astype(back.dtype)
+    gates = np.empty((3 * HIDDEN, *inputs.shape), back.dtype)
+    recurrent = np.empty((3 * HIDDEN, inputs.shape[1]), back.dtype)
     for t in range(len(inputs) - 1, -1, -1):
         before, z, r, m, n = keep[t]
-        d = back[t] + d_state
-        d_n = d * (1 - z) * (1 - n * n)
-        d_z = d * (before - n) * z * (1 - z)
-        d_r = d_n * m * r * (1 - r)
-        gates[t] = np.concatenate([d_z, d_r, d_n], axis=1)
-        recurrent = np.concatenate([d_z, d_r, d_n * r], axis=1)
-        grads["wh"] += before.T @ recurrent
-        d_state = np.where(begins[t][:, None], np.float32(0), d * z + recurrent @ p["wh"].T)
-    flat, words = gates.reshape(-1, 3 * HIDDEN), inputs.ravel()
-    grads["b"] += flat.sum(axis=0)
-    grads["wx"] += p["embed"][words].T @ flat
-    np.add.at(grads["embed"], words, flat @ p["wx"].T)
+        d = back[:, t] + d_state
+        d_n = d * (1 - z)
+        d_n *= 1 - n * n
+        recurrent[:HIDDEN] = d * (before - n) * z * (1 - z)
+        recurrent[HIDDEN : 2 * HIDDEN] = d_n * m * r * (1 - r)
+        gates[: 2 * HIDDEN, t], gates[2 * HIDDEN :, t] = recurrent[: 2 * HIDDEN], d_n
+        recurrent[2 * HIDDEN :] = d_n * r
+        grads["wh"] += before @ recurrent.T
+        d_state = (d * z + p["wh"] @ recurrent) * alive[t]
+    flat, words = gates.reshape(3 * HIDDEN, -1), inputs.ravel()
+    grads["b"] += flat.sum(axis=1)
+    grads["wx"] += p["embed"].take(words, axis=0).T @ flat.T
+    for k, column in enumerate(p["wx"] @ flat):  # far faster than adding rows one by one
+        grads["embed"][:, k] += np.bincount(words, column, VOCABULARY + 1)
 
 
 def in_lanes(documents: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,33 +212,28 @@ def scores(p: dict, documents: list[np.ndarray]) -> np.ndarray:
         return np.empty(0)
     targets, begins, owner = in_lanes(documents, LANES)
     table = p["embed"] @ p["wx"] + p["b"]
-    state = np.zeros((targets.shape[1], HIDDEN), np.float32)
+    state = np.zeros((HIDDEN, targets.shape[1]), np.float32)
     total = np.zeros(len(documents))
     for part, inputs, starts in _windows(targets, begins):
         hidden, _, state = forward(p, table, inputs, starts, state)
         real = targets[part] >= 0
-        logs, _ = outputs(p, hidden[real], targets[part][real])
+        logs, _ = outputs(p, hidden.reshape(HIDDEN, -1).take(np.flatnonzero(real), axis=1), targets[part][real])
         total += np.bincount(owner[part][real], logs, len(documents))
     return total
 
 
 def _mixed(documents: Iterable[np.ndarray], seed: int) -> Iterator[list[np.ndarray]]:
-    """All documents in groups of `TRAIN_LANES` * 8 at most; the order is mixed within each `HELD_TOKENS`."""
+    """All documents in mixed order, in groups that end once they hold `HELD_TOKENS`."""
     draw = np.random.default_rng(seed)
     held, tokens = [], 0
-
-    def groups() -> Iterator[list[np.ndarray]]:
-        order = draw.permutation(len(held))
-        for first in range(0, len(order), TRAIN_LANES * 8):
-            yield [held[i] for i in order[first : first + TRAIN_LANES * 8]]
-
     for d in documents:
         held.append(d)
         tokens += len(d)
         if tokens >= HELD_TOKENS:
-            yield from groups()
+            yield [held[i] for i in draw.permutation(len(held))]
             held, tokens = [], 0
-    yield from groups()
+    if held:
+        yield [held[i] for i in draw.permutation(len(held))]
 
 
 def trained(p: dict, documents: Iterable[np.ndarray], seed: int = 0) -> tuple[dict, int]:
@@ -223,15 +244,16 @@ def trained(p: dict, documents: Iterable[np.ndarray], seed: int = 0) -> tuple[di
     for group in _mixed(documents, seed):
         tokens += sum(map(len, group))
         targets, begins, _ = in_lanes(group, TRAIN_LANES)
-        state = np.zeros((targets.shape[1], HIDDEN), np.float32)
+        state = np.zeros((HIDDEN, targets.shape[1]), np.float32)
         for part, inputs, starts in _windows(targets, begins):
             real = targets[part] >= 0
             n = int(real.sum())
             grads = {k: np.zeros_like(v) for k, v in p.items()}
             hidden, keep, state = forward(p, p["embed"] @ p["wx"] + p["b"], inputs, starts, state)
-            _, d = outputs(p, hidden[real], targets[part][real], grads)
+            at = np.flatnonzero(real)
+            _, d = outputs(p, hidden.reshape(HIDDEN, -1).take(at, axis=1), targets[part][real], grads)
             back = np.zeros_like(hidden)
-            back[real] = d
+            back.reshape(HIDDEN, -1)[:, at] = d
             backward(p, grads, inputs, starts, keep, back)
             step += 1
             size = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) / n
@@ -292,40 +314,73 @@ def learn_words(counts: DataFrame, known: int = KNOWN) -> Words:
     return Words(ids, {w.encode(): c for w, c in frequent}, ends, total, distinct, total - ends - inside, distinct - len(network) - (ends > 0), priors / priors.sum())
 
 
+def _averaged(rows: list[tuple[float, bytes]]) -> tuple[float, bytes]:
+    """Parameters summed by their weights, and the sum of the weights."""
+    total = sum(w for w, _ in rows)
+    return total, (sum(w / total * np.frombuffer(x, np.float64) for w, x in rows)).tobytes()
+
+
+def _average(pieces: DataFrame) -> np.ndarray | None:
+    """The parameters' mean over replicas by their tokens: first in groups of about the root of their number, then whole."""
+
+    def mean(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("replica", "tokens", "weights"))))
+        total, flat = _averaged([(w, x) for _, w, x in rows])
+        return pa.table({"piece": table.column("piece")[:1], "part": table.column("part")[:1], "replica": table.column("replica")[:1], "tokens": [total], "weights": [flat]})
+
+    schema = "piece long, part long, replica long, tokens double, weights binary"
+    parts = pieces.groupBy("piece", "part").applyInArrow(mean, schema)
+    rows = sorted((r["piece"], r["weights"]) for r in parts.groupBy("piece").applyInArrow(mean, schema).collect())
+    return np.concatenate([np.frombuffer(w, np.float64) for _, w in rows]) if rows else None
+
+
 def train(training: DataFrame, words: Words, doc: str = "doc_id", text: str = "text") -> dict:
-    """The network's parameters after all rounds."""
+    """The network's parameters after all rounds. Documents travel as ids of two bytes a word."""
     p = fresh(words.priors)
     if not words.total:
         return p
     spark = training.sparkSession
-    replicas = int(min(MOST_REPLICAS, max(1, round(words.total / REPLICA_TOKENS))))
-    draw = F.xxhash64(F.col(doc), F.lit(3))
-    dealt = training.select(F.pmod(F.xxhash64(draw, F.col(text)), F.lit(replicas)).alias("replica"), F.col(text).alias("text"))
-    dealt = cut_lineage(dealt.repartition(replicas, "replica").sortWithinPartitions("replica", F.xxhash64("text")))
-    size = len(_flat(p))
+    replicas = max(1, round(words.total / ROUNDS / REPLICA_TOKENS))
+    spread = max(1, round(replicas**0.5))
+    ids_now = spark.sparkContext.broadcast(words.ids)
+
+    def to_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = ids_now.value
+        for b in batches:
+            found = [ids_of(words_of(t), ids).astype(np.uint16).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["draw", "ids"])
+
+    drawn = training.select(F.xxhash64(F.xxhash64(F.col(doc), F.lit(3)), F.col(text)).alias("draw"), F.col(text).alias("text")).mapInArrow(to_ids, "draw long, ids binary")
+    dealt = drawn.withColumn("round", F.pmod("draw", F.lit(ROUNDS)).cast("int"))
+    replica_of = F.pmod(F.xxhash64("draw"), F.lit(replicas)).cast("int")
+    dealt = cut_lineage(dealt.withColumn("replica", replica_of).repartitionById(replicas, F.col("replica")).sortWithinPartitions("round", "draw", "ids"))
     for number in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((p, words.ids))
+        shared = spark.sparkContext.broadcast(p)
 
         def replica(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
-            start, ids = shared.value
-            after, tokens = trained(start, (ids_of(words_of(t), ids) for b in batches for t in b.column(0).to_pylist()), number)
+            me = []
+
+            def documents() -> Iterator[np.ndarray]:
+                for b in batches:
+                    if b.num_rows:
+                        me[:] = [b.column(0)[0].as_py()]
+                    for ids in b.column(1).to_pylist():
+                        yield np.frombuffer(ids, np.uint16).astype(np.int32)
+
+            after, tokens = trained(shared.value, documents(), number)
             if tokens:
-                flat = _flat(after)
+                flat = _flat(after).astype(np.float64)
                 pieces = [flat[i : i + PIECE] for i in range(0, len(flat), PIECE)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces))), pa.array([tokens] * len(pieces)), pa.array([x.tobytes() for x in pieces])], ["piece", "tokens", "weights"])
-
-        def averaged(table: pa.Table) -> pa.Table:
-            tokens = np.asarray(table.column("tokens"), float)
-            order = np.argsort(tokens, kind="stable")
-            rows = np.stack([np.frombuffer(w, np.float32) for w in table.column("weights").to_pylist()])[order]
-            mean = (rows * (tokens[order] / tokens.sum())[:, None]).sum(axis=0).astype(np.float32)
-            return pa.table({"piece": table.column("piece")[:1], "weights": [mean.tobytes()]})
-
-        trained_ = dealt.select("text").mapInArrow(replica, "piece long, tokens long, weights binary")
-        pieces = trained_.groupBy("piece").applyInArrow(averaged, "piece long, weights binary").collect()
-        flat = np.concatenate([np.frombuffer(r["weights"], np.float32) for r in sorted(pieces)]) if pieces else _flat(p)
-        assert len(flat) == size
-        p = _shaped(flat, p)
+                n = len(pieces)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(n)), pa.array([me[0] % spread] * n), pa.array(me * n, pa.int64()), pa.array([float(tokens)] * n), pa.array([x.tobytes() for x in pieces])],
+                    ["piece", "part", "replica", "tokens", "weights"],
+                )
+
+        mine = dealt.where(F.col("round") == number).select("replica", "ids")
+        flat = _average(mine.mapInArrow(replica, "piece long, part long, replica long, tokens double, weights binary"))
+        if flat is not None:
+            p = _shaped(flat, p)
     return p
 
 

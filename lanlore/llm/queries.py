@@ -208,7 +208,7 @@ def op2_secret_scan(spark, sf):
 def remainder(doc_id="doc_id"):
     from pyspark.sql import functions as F
 
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5  # no id counts as empty text: 0
 
 
 @query()

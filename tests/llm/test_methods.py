@@ -284,13 +284,13 @@ def test_gradients_of_the_network():
     real = targets >= 0
 
     def loss():
-        hidden, keep, _ = gru_lm.forward(p, p["embed"] @ p["wx"] + p["b"], inputs, starts, np.zeros((2, gru_lm.HIDDEN)))
-        return hidden, keep, -gru_lm.outputs(p, hidden[real], targets[real])[0].sum()
+        hidden, keep, _ = gru_lm.forward(p, p["embed"] @ p["wx"] + p["b"], inputs, starts, np.zeros((gru_lm.HIDDEN, 2)))
+        return hidden, keep, -gru_lm.outputs(p, hidden[:, real], targets[real])[0].sum()
 
     hidden, keep, _ = loss()
     grads = {k: np.zeros_like(v) for k, v in p.items()}
     back = np.zeros_like(hidden)
-    back[real] = gru_lm.outputs(p, hidden[real], targets[real], grads)[1]
+    back[:, real] = gru_lm.outputs(p, hidden[:, real], targets[real], grads)[1]
     gru_lm.backward(p, grads, inputs, starts, keep, back.astype(np.float64))
     for k in p:
         at = np.unravel_index(np.argmax(np.abs(grads[k])), grads[k].shape)
@@ -306,7 +306,7 @@ def test_gradients_of_the_network():
 def test_network_is_a_distribution_and_carries_its_state():
     p = gru_lm.fresh(np.full(gru_lm.VOCABULARY, 1 / gru_lm.VOCABULARY))
     every = np.arange(gru_lm.VOCABULARY)
-    hidden = np.repeat(np.random.default_rng(1).standard_normal((1, gru_lm.HIDDEN)).astype(np.float32), len(every), axis=0)
+    hidden = np.repeat(np.random.default_rng(1).standard_normal((gru_lm.HIDDEN, 1)).astype(np.float32), len(every), axis=1)
     assert np.exp(gru_lm.outputs(p, hidden, every)[0]).sum() == pytest.approx(1, abs=1e-4)
     long, short = np.arange(100) % 50, np.arange(7)
     alone = gru_lm.scores(p, [long])[0]
@@ -351,6 +351,37 @@ def test_a_replica_takes_all_documents_a_part_at_a_time(monkeypatch):
     assert sorted(d[0] for g in groups for d in g) == list(range(1500)) and max(map(len, groups)) <= 100
 
 
+def plain_score(p, words, text):
+    """log10 of a text's probability, one word after the other in plain arithmetic."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    tokens = [*SPACE.findall((text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))), None]
+    state, last, total, H = np.zeros(gru_lm.HIDDEN), gru_lm.VOCABULARY, 0.0, gru_lm.HIDDEN
+    for w in tokens:
+        x, g = p["embed"][last].astype(float) @ p["wx"] + p["b"], state @ p["wh"]
+        z, r = sigmoid(x[:H] + g[:H]), sigmoid(x[H : 2 * H] + g[H : 2 * H])
+        n = np.tanh(x[2 * H :] + r * g[2 * H :])
+        state = (1 - z) * n + z * state
+        last = gru_lm.END if w is None else words.ids.get(w.encode(), gru_lm.OTHER)
+        group, place = divmod(last, gru_lm.PER_CLASS)
+        a, b = state @ p["uc"] + p["bc"], state @ p["uw"][group] + p["bw"][group]
+        total += a[group] - np.log(np.exp(a).sum()) + b[place] - np.log(np.exp(b).sum())
+        if last == gru_lm.OTHER:
+            total += np.log((words.counts.get(w.encode(), 0) + 0.5) / (words.outside + 0.5 * (words.outside_distinct + 1)))
+    return total / np.log(10)
+
+
+def test_scores_are_those_of_a_plain_forward_pass(spark, docs):
+    learned = docs.where("doc_id % 2 = 0")
+    counts = gru_lm.count_words(learned)
+    words = gru_lm.learn_words(counts)
+    p = gru_lm.train(learned, words)
+    assert (p["wh"] != gru_lm.fresh(words.priors)["wh"]).any()
+    some = docs.where("doc_id < 40").union(spark.createDataFrame([(900, None, None, None, None), (901, "", None, None, None), (902, "Neverseen The the", None, None, None)], docs.schema))
+    texts = {r["doc_id"]: r["text"] for r in some.collect()}
+    for r in gru_lm.score_documents(some, counts, words, p).collect():
+        assert r["score"] == pytest.approx(plain_score(p, words, texts[r["doc"]]), rel=1e-3, abs=1e-3)
+
+
 # The pipeline
 
 
