@@ -1,13 +1,14 @@
 """Main text of web pages by block rules in two passes.
 
-A page is cut into blocks at block-level tags. The first pass decides blocks by themselves: those inside menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments (known by element, role, or words of class and id) are
-out; those inside an article or main element are in unless they are mostly links; all others are judged by stop-word
-density, length and link density; short ones stay undecided, and long ones with few links and few stop words too. The
-second pass gives undecided blocks the label of the nearest decided neighbour; where both sides are as near and differ,
-headings follow what comes next and other blocks are left out. Long ones are kept if the nearest on either side is. On a
-page with hardly any listed stop word, length and link density alone decide. On a page without a block that is surely main text, all undecided ones are kept. A page with an
-article keeps only what is inside it.
+A page is cut into blocks at block-level tags. The first pass weighs every block by itself: its length, link density and
+stop-word density make it good, bad or neither, and where it stands adds to that. Menus, footers, forms and the like are
+out by element or role, and so is what a class or id calls a sidebar, notice, advert or comment, unless that holds most of
+the page's text (a name on a wrapper tells its layout, not what it is). Where good text stands mostly inside an article or
+main element, blocks inside it gain and blocks outside it lose. What weighs enough is decided, short blocks and long ones
+with few stop words stay open. The second pass gives open blocks the label of the nearest decided neighbour; where both
+sides are as near and differ, headings follow what comes next and other blocks are left out. Long ones are kept if the
+nearest on either side is. On a page with hardly any listed stop word, length and link density alone decide. On a page
+without a block that is surely main text, all open ones are kept.
 
 Scripts, styles and other raw elements never become text. Character references are decoded, white space within a block
 becomes one space, blocks are joined by a line break in page order; nothing else is dropped or cut.
@@ -45,6 +46,9 @@ NAMES_OUT = {
     "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pagination", "popup", "promo",
     "promoted", "related", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "topbar", "widget",
 }
+# Parts of a class name that tell a state or a layout, not what an element is; elements that names never put out.
+NAME_STATES = {"has", "is", "no", "with", "without", "open", "closed", "opened", "hide", "hidden", "show", "left", "right", "single", "js"}
+NEVER_BY_NAME = {"body", "h1", "h2", "h3", "h4", "h5", "h6", "html"}
 STOP_WORDS = set(
     """a about an and are as at be been but by for from had has have he her his i if in into is it its not of on or our she so than that the their them then there these they this to was we were which will with you
     au aux avec ce ces dans de des du elle en est et il ils je la le les leur mais ne nous par pas plus pour qu que qui sa se ses son sur une vous
@@ -58,6 +62,9 @@ STOP_LOW, STOP_HIGH = 0.2, 0.3
 STOP_HARDLY = 0.05
 LINKS_HIGH = 0.2
 MOSTLY_LINKS = 0.5
+#: Weights of the first pass: a good block, one with many links, one that is mostly links, and standing inside or outside the article.
+GOOD, LINKED, ALL_LINKS, INSIDE_ARTICLE, OUTSIDE_ARTICLE = 2.0, -2.0, -4.0, 1.5, -3.0
+DECIDED = 1.0
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+'|["'])*+)>?|<[!?/][^>]*>?""", re.S)
 _ATTRIBUTE = re.compile(r"""([A-Za-z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
@@ -66,21 +73,31 @@ _NAME = re.compile(r"[a-z]+")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _placed(tag: str, attributes: str, within: str) -> str:
-    """Where an element's content belongs: "out", "in", or as `within`, its parent's place."""
+def _named_out(names: str) -> bool:
+    """Whether a class or id calls its element something beside the main text: by its first or last part, unless it tells a state."""
+    for name in names.split():
+        parts = _NAME.findall(name)
+        if parts and (parts[0] in NAMES_OUT or parts[-1] in NAMES_OUT) and not NAME_STATES & {*parts}:
+            return True
+    return False
+
+
+def _placed(tag: str, attributes: str, within: str) -> tuple[str, bool]:
+    """Where an element's content belongs: "out", "in", or as `within`, its parent's place; and whether a name puts it out."""
     if within == "out" or tag in OUTSIDE:
-        return "out"
+        return "out", False
+    named = False
     if attributes:
         found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)}
-        names = set(_NAME.findall(f"{found.get('class', '')} {found.get('id', '')}"))
         bare = _ATTRIBUTE.sub("", attributes).lower().split()
-        if names & NAMES_OUT or found.get("role") in ROLES_OUT or "hidden" in bare or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
-            return "out"
+        if found.get("role") in ROLES_OUT or "hidden" in bare or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
+            return "out", False
+        named = tag not in NEVER_BY_NAME and _named_out(f"{found.get('class', '')} {found.get('id', '')}")
         if found.get("role") in ("main", "article"):
-            return "in"
+            return "in", named
     if tag == "header" and within != "in":
-        return "out"
-    return "in" if tag in INSIDE else within
+        return "out", False
+    return "in" if tag in INSIDE else within, named
 
 
 def _raw_ends(html: str, name: str) -> dict[int, int]:
@@ -95,20 +112,29 @@ def _raw_ends(html: str, name: str) -> dict[int, int]:
     return ends
 
 
-def blocks_of(html: str) -> list[tuple[str, int, str, bool]]:
-    """(text, characters in links, place, heading) of each block with text, in page order."""
-    out: list[tuple[str, int, str, bool]] = []
+Block = tuple[str, int, str, bool, int]
+
+
+def blocks_of(html: str) -> tuple[list[Block], list[int]]:
+    """(text, characters in links, place, heading, name) of each block with text, in page order.
+
+    A block's name is the number of the innermost element around it that a name puts out, 0 if there is none; the second
+    list has the name around each name.
+    """
+    out: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, str]] = []
-    own, heading, linked, in_link, breaks = "", False, 0, 0, 0
+    stack: list[tuple[str, str, int]] = []
+    opened: dict[str, int] = {}
+    around = [0]
+    own, own_name, heading, linked, in_link, breaks = "", 0, False, 0, 0, 0
 
     def end_block() -> None:
-        nonlocal parts, linked, in_link, breaks, heading, own
+        nonlocal parts, linked, in_link, breaks, heading, own, own_name
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                out.append((text, linked, own or (stack[-1][1] if stack else ""), heading))
-        parts, linked, in_link, breaks, heading, own = [], 0, 0, 0, False, ""
+                out.append((text, linked, own or (stack[-1][1] if stack else ""), heading, own_name or (stack[-1][2] if stack else 0)))
+        parts, linked, in_link, breaks, heading, own, own_name = [], 0, 0, 0, False, "", 0
 
     at, size = 0, len(html)
     raw_ends: dict[str, dict[int, int]] = {}
@@ -147,27 +173,33 @@ def blocks_of(html: str) -> list[tuple[str, int, str, bool]]:
             parts.append(" ")
             breaks += 1
             if breaks > 1:
-                keep = own, heading
+                keep = own, own_name, heading
                 end_block()
-                own, heading = keep
+                own, own_name, heading = keep
         elif name in BLOCKS:
             end_block()
             if closing:
-                if any(t == name for t, _ in stack):
-                    while stack.pop()[0] != name:
-                        pass
+                while opened.get(name):
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                    if last == name:
+                        break
                 continue
-            within = stack[-1][1] if stack else ""
             if name == "body":
                 stack.clear()
-                within = ""
-            place = _placed(name, tag[3], within)
+                opened.clear()
+            within, name_around = stack[-1][1:] if stack else ("", 0)
+            place, named = _placed(name, tag[3], within)
+            if named:
+                around.append(name_around)
+                name_around = len(around) - 1
             if name in CONTAINERS:
-                stack.append((name, place))
+                stack.append((name, place, name_around))
+                opened[name] = opened.get(name, 0) + 1
             else:
-                own, heading = place, name[0] == "h" and name != "hr"
+                own, own_name, heading = place, name_around if named else 0, name[0] == "h" and name != "hr"
     end_block()
-    return out
+    return out, around
 
 
 def _stops(text: str) -> tuple[int, int]:
@@ -176,29 +208,50 @@ def _stops(text: str) -> tuple[int, int]:
     return sum(w in STOP_WORDS for w in words), len(words)
 
 
-def labels_of(blocks: list[tuple[str, int, str, bool]]) -> list[bool]:
+def _out_by_name(blocks: list[Block], around: list[int]) -> set[int]:
+    """The names that hold: those around no more than half of the page's text, with all that is inside them."""
+    text = [0] * len(around)
+    for body, linked, place, _, name in blocks:
+        if place != "out":
+            text[name] += max(len(body) - linked, 0)
+    total = sum(text)
+    for name in range(len(around) - 1, 0, -1):  # inner names come after outer ones
+        text[around[name]] += text[name]
+    out: set[int] = set()
+    for name in range(1, len(around)):
+        if around[name] in out or 2 * text[name] <= total:
+            out.add(name)
+    return out
+
+
+def labels_of(blocks: list[Block], around: list[int]) -> list[bool]:
     """Which blocks are main text."""
-    whole = any(place == "in" for _, _, place, _ in blocks)
-    found = {}
-    if not whole:
-        found = {i: _stops(text) for i, (text, linked, place, _) in enumerate(blocks) if place != "out" and len(text) >= LENGTH_LOW and linked <= LINKS_HIGH * len(text)}
+    named = _out_by_name(blocks, around)
+    out = [place == "out" or name in named for _, _, place, _, name in blocks]
+    found = {i: _stops(b[0]) for i, b in enumerate(blocks) if not out[i] and len(b[0]) >= LENGTH_LOW and b[1] <= LINKS_HIGH * len(b[0])}
     unlisted = sum(s for s, _ in found.values()) < STOP_HARDLY * sum(n for _, n in found.values())
+
+    def good(i: int) -> bool:
+        size, (stops, words) = len(blocks[i][0]), found[i]
+        if unlisted:
+            return size >= LENGTH_HIGH
+        return stops >= (STOP_LOW if size >= LENGTH_HIGH else STOP_HIGH) * max(words, 1)
+
+    surely = {i for i in found if good(i)}
+    inside = sum(len(blocks[i][0]) for i in surely if blocks[i][2] == "in")
+    outside = sum(len(blocks[i][0]) for i in surely) - inside
+    # without good text at all, an article still tells where the text is
+    by_article = any(b[2] == "in" for b in blocks) and inside >= outside
     decided: list[bool | None] = []
-    for i, (text, linked, place, _) in enumerate(blocks):
-        links = linked / len(text)
-        if place == "out" or (whole and place != "in"):
+    for i, (text, linked, place, _, _) in enumerate(blocks):
+        if out[i]:
             decided.append(False)
-        elif place == "in":
-            decided.append(links < MOSTLY_LINKS)
-        elif links > LINKS_HIGH:
-            decided.append(False)
-        elif len(text) < LENGTH_LOW:
-            decided.append(None if not linked else False)
-        elif unlisted:
-            decided.append(True if len(text) >= LENGTH_HIGH else None)
-        else:
-            stops = found[i][0] / max(found[i][1], 1)
-            decided.append(True if stops >= STOP_HIGH or (stops >= STOP_LOW and len(text) >= LENGTH_HIGH) else None)
+            continue
+        links = linked / len(text)
+        weight = GOOD if i in surely else ALL_LINKS if links >= MOSTLY_LINKS else LINKED if links > LINKS_HIGH or (linked and len(text) < LENGTH_LOW) else 0.0
+        if by_article:
+            weight += INSIDE_ARTICLE if place == "in" else OUTSIDE_ARTICLE
+        decided.append(True if weight >= DECIDED else False if weight <= -DECIDED else None)
     if not any(decided):  # nothing is surely main text: what is not surely something else is
         return [d is None for d in decided]
     before, after = [], []
@@ -228,8 +281,8 @@ def labels_of(blocks: list[tuple[str, int, str, bool]]) -> list[bool]:
 
 def text_of(html: str) -> tuple[str, int, int]:
     """Main text, number of blocks, number of blocks kept."""
-    blocks = blocks_of(html)
-    kept = [b[0] for b, good in zip(blocks, labels_of(blocks)) if good]
+    blocks, around = blocks_of(html)
+    kept = [b[0] for b, good in zip(blocks, labels_of(blocks, around)) if good]
     return "\n".join(kept), len(blocks), len(kept)
 
 
