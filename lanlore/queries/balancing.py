@@ -56,8 +56,6 @@ def bal10_method_choice(spark, sf):
 
 
 FEATURES = [f"x{i}" for i in range(64)]
-#: What the SQL of the two queries at the end compares.
-SHORT = FEATURES[:8]
 
 
 def imbalanced(spark, sf):
@@ -111,29 +109,19 @@ def bal6_smote_tomek(spark, sf):
 
 
 NEIGHBOURS_SQL = """
-v AS (SELECT vec_id, embedding[1:8]::DOUBLE[] AS x, CASE WHEN label >= 8 THEN 2 ELSE 0 END AS label FROM embeddings),
+v AS (SELECT vec_id, embedding::DOUBLE[] AS x, CASE WHEN label >= 8 THEN 2 ELSE 0 END AS label FROM embeddings),
 d AS (SELECT a.vec_id, a.label, b.vec_id AS nn, b.label AS nl, list_distance(a.x, b.x) AS d FROM v a, v b WHERE a.vec_id <> b.vec_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, nn) AS r FROM d)"""
 
 
 @query(f"WITH {NEIGHBOURS_SQL} SELECT vec_id, label FROM k WHERE r <= 3 GROUP BY ALL HAVING count(*) FILTER (label <> nl) = 0")
-def bal5_edited_neighbours(spark, sf):
-    return bal.drop_mislabelled(imbalanced(spark, sf), SHORT, "vec_id").select("vec_id", "label")
+def bal5_edited_neighbours_whole(spark, sf):
+    return bal.drop_mislabelled(imbalanced(spark, sf), FEATURES, "vec_id").select("vec_id", "label")
 
 
 @query(
     f"""WITH {NEIGHBOURS_SQL}, f AS (SELECT * FROM k WHERE r = 1)
     SELECT vec_id, label FROM f WHERE NOT EXISTS (SELECT 1 FROM f g WHERE g.vec_id = f.nn AND g.nn = f.vec_id AND g.label <> f.label)"""
 )
-def bal6_without_tomek_links(spark, sf):
-    return bal.drop_tomek_links(imbalanced(spark, sf), SHORT, "vec_id").select("vec_id", "label")
-
-
-@query()
-def bal5_edited_neighbours_whole(spark, sf):
-    return bal.drop_mislabelled(imbalanced(spark, sf), FEATURES, "vec_id").select("vec_id", "label")
-
-
-@query()
 def bal6_without_tomek_links_whole(spark, sf):
     return bal.drop_tomek_links(imbalanced(spark, sf), FEATURES, "vec_id").select("vec_id", "label")

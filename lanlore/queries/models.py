@@ -143,24 +143,25 @@ def mod14_kmeans(spark, sf):
     return clusters.assign(clusters.kmeans(data), data).select("vec_id", "cluster")
 
 
-@query()
-def mod15_density_clusters(spark, sf):
-    """All 64 numbers, by the radius and count that the query had on four."""
-    return clusters.dbscan(table(spark, sf, "embeddings").select("vec_id", "embedding"), eps=0.06, min_points=5, id="vec_id", vector="embedding")
-
-
 @query(
-    """WITH RECURSIVE v AS (SELECT vec_id, embedding[1:4]::DOUBLE[] AS x FROM embeddings),
-    e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE list_distance(a.x, b.x) <= 0.06),
+    """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+    d AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.x, b.x) AS d FROM v a, v b),
+    k AS (SELECT a, d FROM d WHERE a <> b QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 4),
+    curve AS (SELECT unnest(range(101)) AS i, unnest(quantile_cont(d, list_transform(range(101), lambda i: i / 100))) AS y FROM k),
+    eps AS (SELECT arg_max(y, i / 100 - (y - lo) / (hi - lo)) AS eps FROM curve, (SELECT min(y) AS lo, max(y) AS hi FROM curve)),
+    e AS (SELECT a, b FROM d, eps WHERE d <= eps),
     core AS (SELECT a AS id FROM e GROUP BY a HAVING count(*) >= 5),
     ce AS (SELECT a, b FROM e WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
     reach(id, r) AS (SELECT id, id FROM core UNION SELECT ce.b, reach.r FROM reach JOIN ce ON ce.a = reach.id WHERE reach.r <= ce.b),
-    comp AS (SELECT id, min(r) AS c FROM reach GROUP BY id)
-    SELECT c AS cluster, count(*) AS core_points FROM comp GROUP BY c"""
+    comp AS (SELECT id, min(r) AS c FROM reach GROUP BY id),
+    border AS (SELECT a AS id, min(c) AS c FROM e JOIN comp ON e.b = comp.id WHERE a NOT IN (SELECT id FROM core) GROUP BY a)
+    SELECT vec_id, coalesce(comp.c, border.c, -1) AS cluster, comp.c IS NOT NULL AS core FROM v LEFT JOIN comp ON vec_id = comp.id LEFT JOIN border ON vec_id = border.id"""
 )
-def mod15_cluster_sizes(spark, sf):
-    data = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("short"))  # as the SQL
-    return clusters.dbscan(data, eps=0.06, min_points=5, id="vec_id", vector="short").where("core").groupBy("cluster").agg(F.count(F.lit(1)).alias("core_points"))
+def mod15_density_clusters(spark, sf):
+    """All 64 numbers; the radius is the knee of the distances to the fourth nearest other vector."""
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    eps = clusters.density_radius(vectors, 5, "vec_id", "embedding")
+    return clusters.dbscan(vectors, eps=eps, min_points=5, id="vec_id", vector="embedding")
 
 
 @query()

@@ -9,6 +9,7 @@ from ..operators import rules
 from ..operators.intervals import label_by_intervals
 from ..session import scratch_path
 from ..streaming import features as st
+from ..streaming.markers import label_by_markers
 from ..streaming.sequences import rolling_sequences
 from .features import MESSAGES
 from .joins import LABELLED_SQL, PER_USER, user_intervals
@@ -148,3 +149,49 @@ def str8_scored_reports(spark, sf):
     folder = scratch_path(spark, "reports")
     st.score_to_table(rule_features(spark, sf), rules.rule_only, folder)
     return spark.read.parquet(folder).select("device_id", "time_window", "misconfig_label")
+
+
+@query(
+    f"""WITH e AS (SELECT user_id AS device_id, {bucket('1 day', 'ts')} AS time_window, event_type, value, coalesce(json_extract_string(props, '$.k'), '') AS d FROM events),
+    c AS (SELECT device_id, time_window, d, count(*) AS n FROM e GROUP BY ALL),
+    h AS (SELECT device_id, time_window, count(*) AS num_unique_domains, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS query_entropy FROM c GROUP BY ALL)
+    SELECT e.device_id, e.time_window, count(*) AS dns_query_count, count(*) FILTER (event_type = 'view') AS dns_success_count,
+      count(*) FILTER (event_type NOT IN ('view', 'click')) AS dns_failure_count, num_unique_domains, round(greatest(query_entropy, 0), 6) AS query_entropy,
+      round(avg(value), 6) AS mean_response_time
+    FROM e JOIN h ON e.device_id = h.device_id AND e.time_window = h.time_window WHERE e.time_window + INTERVAL '1 day' <= {CLOSED} GROUP BY ALL"""
+)
+def str1_dns_entropy(spark, sf):
+    rows = stream_of(spark, sf).withColumn("domain", F.get_json_object("props", "$.k"))
+    found = st.to_table(st.dns_features(rows, "domain", "event_type", "value", "ts", "user_id", "1 day", DELAY, success="view", nxdomain="click"))[0]
+    names = ["device_id", "time_window", "dns_query_count", "dns_success_count", "dns_failure_count", "num_unique_domains", "query_entropy", "mean_response_time"]
+    return rounded(found.select(*names))
+
+
+@query(
+    f"""SELECT * FROM (SELECT o_custkey AS device_id, {bucket('30 days', 'o_orderdate')} AS time_window, round(sum(o_totalprice), 2) AS orig_bytes_sum, round(avg(o_totalprice), 4) AS orig_bytes_mean,
+    count(o_totalprice) AS orig_bytes_count, sum(o_orderkey % 5)::BIGINT AS orig_pkts_sum, round(avg(o_orderkey % 7), 6) AS duration_mean FROM orders GROUP BY ALL)
+    WHERE time_window + INTERVAL '30 days' <= (SELECT max(o_orderdate) - INTERVAL '10 minutes' FROM orders)"""
+)
+def str1_flow_features(spark, sf):
+    orders = stream_of(spark, sf, "orders").withColumns({"packets": F.col("o_orderkey") % 5, "lasted": F.col("o_orderkey") % 7})
+    orders = orders.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
+    aggregates = st.flow_aggregates("o_totalprice", "o_totalprice", "packets", "lasted")
+    found = st.to_table(st.windowed(orders, aggregates, "o_orderdate", "o_custkey", "30 days", delay=DELAY))[0]
+    return rounded(found.drop("window_end", "resp_bytes_sum"), 6, orig_bytes_sum=2, orig_bytes_mean=4)
+
+
+@query(
+    """WITH w AS (SELECT least(max(ts), max(ts) FILTER (event_type IN ('error', 'signup'))) - INTERVAL '10 minutes' AS wm FROM events),
+    e AS (SELECT event_id, user_id, ts, event_type, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts) AS chain FROM events, w WHERE ts <= wm),
+    s AS (SELECT user_id, chain, min(ts) FILTER (event_type = 'error') AS started FROM e WHERE chain > 0 GROUP BY ALL),
+    c AS (SELECT s.user_id, s.chain, started, (SELECT max(ts) FROM e x WHERE x.user_id = s.user_id AND x.chain = s.chain AND x.event_type = 'signup' AND x.ts <= started + INTERVAL '3 days') AS ended FROM s)
+    SELECT e.event_id, e.user_id, (CASE WHEN e.ts <= ended THEN 2 ELSE 0 END)::INTEGER AS label FROM e JOIN w ON true LEFT JOIN c ON c.user_id = e.user_id AND c.chain = e.chain
+    WHERE NOT (e.chain > 0 AND e.ts > coalesce(ended, TIMESTAMP '1900-01-01') AND e.ts <= started + INTERVAL '3 days' AND wm <= started + INTERVAL '3 days'
+      AND NOT EXISTS (SELECT 1 FROM s n WHERE n.user_id = e.user_id AND n.chain > e.chain))"""
+)
+def str6_marker_stream(spark, sf):
+    """Errors start and sign-ups end a user's intervals; both sides are streams. What is not sure at the end stays in state."""
+    events = stream_of(spark, sf).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    markers = events.where("event_type IN ('error', 'signup')").select("user_id", "ts", (F.col("event_type") == "error").alias("is_start"))
+    labelled = label_by_markers(events.drop("event_type"), markers, "ts", by=["user_id"], delay=DELAY, longest=3 * DAY)
+    return st.to_table(labelled)[0].select("event_id", "user_id", "label")
