@@ -312,8 +312,8 @@ def borderline_smote(
 
 
 def _identified(df: DataFrame, key: str) -> DataFrame:
-    """One long id per row of a resampled table, originals and copies alike."""
-    return df.withColumn("_id", F.xxhash64(F.lit(0), key, F.coalesce("copy", F.lit(-1))))
+    """An id per row of a resampled table, originals and copies alike: the key, then the copy's number after the last #."""
+    return df.withColumn("_id", F.concat_ws("#", F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce("copy", F.lit(-1)).cast("string")))
 
 
 def drop_mislabelled(df: DataFrame, features: Sequence[str], id: str, label: str = "label", k: int = 3) -> DataFrame:

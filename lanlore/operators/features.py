@@ -249,22 +249,34 @@ def window_aggregates(
     no known column to aggregate, flows are counted instead (AGG14).
     """
     work = keyed(df, device, ts, seconds, keep_null_keys=True).withColumn("_ts", to_instant(df, ts))
-    funcs = {"sum": F.sum, "mean": F.avg, "count": F.count}
-    aggregates = []
+    first, merge, out = {}, {}, {}  # per value of the protocol, over its values, and what is shown
     for canonical, kinds in DATASET_AGGREGATES.items():
         column = first_present(df, [canonical, RAW_NAMES.get(canonical, canonical)])
         if column:
-            aggregates += [funcs[k](named(column)).alias(f"{column}_{k}") for k in kinds]
-    if proto and proto in df.columns:
-        aggregates.append(F.coalesce(F.mode(named(proto), True), F.lit(0).cast(df.schema[proto].dataType)).alias("proto_mode"))
-    if not aggregates:
+            first |= {f"_s_{column}": F.sum(named(column)), f"_n_{column}": F.count(named(column))}
+            merge |= {f"_s_{column}": F.sum(f"_s_{column}"), f"_n_{column}": F.sum(f"_n_{column}")}
+            shown = {"sum": F.col(f"_s_{column}"), "count": F.col(f"_n_{column}"), "mean": F.try_divide(F.col(f"_s_{column}"), F.col(f"_n_{column}"))}
+            out |= {f"{column}_{k}": shown[k] for k in kinds}
+    by_proto = bool(proto and proto in df.columns)
+    if not out and not by_proto:
         return flow_counts(df, seconds, device, ts)
+    if by_proto:
+        first["_rows"] = F.count(named(proto))
+        merge["_mode"] = F.min_by("_proto", F.when(F.col("_proto").isNotNull(), F.struct(-F.col("_rows"), F.col("_proto"))))
+        out["proto_mode"] = F.coalesce(F.col("_mode"), F.lit(0).cast(df.schema[proto].dataType))
     if label and label in df.columns:
-        earliest = F.struct(F.col("_ts").isNull(), F.col("_ts"), *[named(c) for c in first_by])
-        first = F.min_by(named(label), F.when(named(label).isNotNull(), earliest))
-        aggregates.append(F.coalesce(first, F.lit(0)).cast("int").alias("label"))
-    out = fill_numeric(work.groupBy(*KEYS).agg(*aggregates), skip=["device_id"])
-    return out.withColumnsRenamed(FLOW_FEATURE_NAMES) if rename else out
+        earliest = F.struct(F.col("_ts").isNull().alias("none"), F.col("_ts").alias("ts"), *[named(c).alias(f"tie{i}") for i, c in enumerate(first_by)])
+        first["_first"] = F.min(F.when(named(label).isNotNull(), F.struct(earliest.alias("at"), named(label).alias("label"))))
+        merge["_first"] = F.min("_first")
+        out["label"] = F.coalesce(F.col("_first.label"), F.lit(0)).cast("int")
+    if by_proto:
+        # values are counted before windows are, so no window's distinct values meet in one buffer
+        grouped = work.withColumn("_proto", named(proto)).groupBy(*KEYS, "_proto").agg(*[c.alias(n) for n, c in first.items()])
+        grouped = grouped.groupBy(*KEYS).agg(*[c.alias(n) for n, c in merge.items()])
+    else:
+        grouped = work.groupBy(*KEYS).agg(*[c.alias(n) for n, c in first.items()])
+    shown = fill_numeric(grouped.select(*KEYS, *[c.alias(n) for n, c in out.items()]), skip=["device_id"])
+    return shown.withColumnsRenamed(FLOW_FEATURE_NAMES) if rename else shown
 
 
 def flow_counts(df: DataFrame, seconds: int = 300, device: str = "device_id", ts: str = "timestamp") -> DataFrame:
