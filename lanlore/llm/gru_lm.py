@@ -38,8 +38,10 @@ WINDOW = 32
 LANES, TRAIN_LANES = 512, 256
 ROUNDS = 4
 RATE = 0.01
+#: Tokens that a lane trains on without a break; longer documents go to several lanes, so that none runs on alone.
+STRETCH = 1024
 #: Tokens a replica is meant to see in a round.
-REPLICA_TOKENS = 500_000
+REPLICA_TOKENS = 1_000_000
 #: Tokens of documents that a replica lays out in lanes at a time.
 HELD_TOKENS = 4_000_000
 #: Words whose counts are sent to every executor.
@@ -81,12 +83,12 @@ def forward(p: dict, table: np.ndarray, inputs: np.ndarray, begins: np.ndarray,
 
     `table` has what each input word adds to the gates. Lanes come last, so that every gate is one piece of memory.
     """
-    table = np.ascontiguousarray(table.T)
+    columns = np.ascontiguousarray(table.T)
     alive = (~begins).astype(table.dtype)
     recurrent, keep = np.ascontiguousarray(p["wh"].T), []
     hidden = np.empty((HIDDEN, *inputs.shape), table.dtype)
     for t in range(len(inputs)):
-        before, x = state * alive[t], table.take(inputs[t], axis=1)
+        before, x = state * alive[t], columns.take(inputs[t], axis=1)
         g = recurrent @ before
         zr = np.maximum(x[: 2 * HIDDEN] + g[: 2 * HIDDEN], -60)
         np.negative(zr, zr)
@@ -178,7 +180,7 @@ def backward(p: dict, grads: dict, inputs: np.ndarray, begins: np.ndarray, keep:
 
 def in_lanes(documents: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(targets, begins, owner), steps x lanes: documents end to end, long ones first, each to the lane that is shortest. -1 is padding."""
-    lanes = max(1, min(lanes, len(documents)))
+    lanes = max(1, min(lanes, len(documents)))  # lanes stand by falling length
     sizes = np.array([len(d) for d in documents])
     load, plan = np.zeros(lanes, np.int64), [[] for _ in range(lanes)]
     order = np.argsort(-sizes, kind="stable")
@@ -186,6 +188,7 @@ def in_lanes(documents: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.nd
         for lane, d in zip(np.argsort(load, kind="stable"), order[first : first + lanes]):
             plan[lane].append(d)
             load[lane] += sizes[d]
+    plan = [plan[lane] for lane in np.argsort(-load, kind="stable")]
     targets, owner = (np.full((load.max(), lanes), -1, np.int32) for _ in range(2))
     begins = np.ones((load.max(), lanes), bool)
     for lane, mine in enumerate(plan):
@@ -198,12 +201,16 @@ def in_lanes(documents: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.nd
 
 
 def _windows(targets: np.ndarray, begins: np.ndarray):
-    """Inputs of each window: the token before, or the start mark (`VOCABULARY`) where a document begins."""
-    before = np.concatenate([np.full((1, targets.shape[1]), VOCABULARY, np.int32), targets[:-1]])
-    before = np.where(begins | (before < 0), np.int32(VOCABULARY), before)
+    """(part, inputs, begins) of each window, without the lanes that have ended: the token before, or the start mark (`VOCABULARY`) where a document begins."""
+    lasts = (targets >= 0).sum(axis=0)
     for first in range(0, len(targets), WINDOW):
-        part = slice(first, first + WINDOW)
-        yield part, before[part], begins[part]
+        part = slice(first, first + WINDOW), slice(0, int((lasts > first).sum()))
+        starts = begins[part]
+        before = targets[max(first - 1, 0) : first + WINDOW - 1, part[1]]
+        if not first:
+            before = np.concatenate([np.full((1, before.shape[1]), -1, np.int32), before[: len(starts) - 1]])
+        before = before[: len(starts)]
+        yield part, np.where(starts | (before < 0), np.int32(VOCABULARY), before), starts
 
 
 def scores(p: dict, documents: list[np.ndarray]) -> np.ndarray:
@@ -215,7 +222,7 @@ def scores(p: dict, documents: list[np.ndarray]) -> np.ndarray:
     state = np.zeros((HIDDEN, targets.shape[1]), np.float32)
     total = np.zeros(len(documents))
     for part, inputs, starts in _windows(targets, begins):
-        hidden, _, state = forward(p, table, inputs, starts, state)
+        hidden, _, state = forward(p, table, inputs, starts, state[:, : inputs.shape[1]])
         real = targets[part] >= 0
         logs, _ = outputs(p, hidden.reshape(HIDDEN, -1).take(np.flatnonzero(real), axis=1), targets[part][real])
         total += np.bincount(owner[part][real], logs, len(documents))
@@ -241,7 +248,7 @@ def trained(p: dict, documents: Iterable[np.ndarray], seed: int = 0) -> tuple[di
     p = {k: v.copy() for k, v in p.items()}
     mean, square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     step = tokens = 0
-    for group in _mixed(documents, seed):
+    for group in _mixed((d[i : i + STRETCH] for d in documents for i in range(0, len(d), STRETCH)), seed):
         tokens += sum(map(len, group))
         targets, begins, _ = in_lanes(group, TRAIN_LANES)
         state = np.zeros((HIDDEN, targets.shape[1]), np.float32)
@@ -249,7 +256,7 @@ def trained(p: dict, documents: Iterable[np.ndarray], seed: int = 0) -> tuple[di
             real = targets[part] >= 0
             n = int(real.sum())
             grads = {k: np.zeros_like(v) for k, v in p.items()}
-            hidden, keep, state = forward(p, p["embed"] @ p["wx"] + p["b"], inputs, starts, state)
+            hidden, keep, state = forward(p, p["embed"] @ p["wx"] + p["b"], inputs, starts, state[:, : inputs.shape[1]])
             at = np.flatnonzero(real)
             _, d = outputs(p, hidden.reshape(HIDDEN, -1).take(at, axis=1), targets[part][real], grads)
             back = np.zeros_like(hidden)
