@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir), works on all that the stage before it kept, and returns the columns of the
 table `documents`; the last adds `copy`, the number of the copy, and has a row for each copy that the mix takes. A
 stage's result is written as Parquet and read again as the next one's input.
+
+Every stage keeps the table's own columns and their values, whatever their names. A null or empty text is rejected by the
+quality rules for its few words; given to a later stage it is linked with nothing, holds no passage and no secret, and is
+taken once. Repeated rows are near duplicates of each other: rows of one id stay or go together. An empty table gives an
+empty table at every stage and in the end.
 """
 
 from __future__ import annotations
@@ -36,15 +41,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets give way to their kind in brackets; `n_chars` follows the text where that was changed."""
+    """Secrets give way to their kind in brackets; `n_chars`, where there is one, follows the text where that was changed."""
     changed = masked(docs.withColumn("_before", F.col("text")))
-    return changed.withColumn("n_chars", F.when(F.col("text") != F.col("_before"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_before")
+    if "n_chars" in docs.columns:
+        length = F.when(F.col("text") != F.col("_before"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        changed = changed.withColumn("n_chars", length)
+    return changed.drop("_before")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for every copy that brings the sources to their target weights."""
-    mixed = mix(docs).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return mixed.select(*docs.columns, "copy")
+    """A row for every copy that brings the sources to their target weights. A column `copy` of the table's own gives way."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "copy"])
+    mixed = mix(docs.select("doc_id", "text", "source", row.alias("_row"))).where("copies > 0")
+    return mixed.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("_row.*", "copy")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
