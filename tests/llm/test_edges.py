@@ -156,5 +156,12 @@ def test_stages(spark, docs, none, name, stage, tmp_path_factory):
     spark.createDataFrame([("i1", PLAIN)], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
     for table in (docs, none):
         out = stage(spark, table, folder)
-        assert out.columns == docs.columns + (["copy"] if name == corpus_pipeline.STAGES[-1][0] else [])
+        last = name == corpus_pipeline.STAGES[-1][0]
+        assert out.columns == ([c for c in docs.columns if c != "copy"] + ["copy"] if last else docs.columns)
         assert out.count() <= 2 * table.count()
+    own = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).select(
+        "doc_id", "text", "lang", "source", "n_chars", F.concat(F.lit("s"), "doc_id").alias("size"), (F.col("doc_id") * 2).alias("source_size"), F.lit(1.5).alias("target"), F.lit(-3).alias("copies"), F.lit(True).alias("kept")
+    )
+    rows = {r["doc_id"]: r for r in own.collect()}
+    for r in stage(spark, own, folder).collect():
+        assert all(r[c] == rows[r["doc_id"]][c] for c in own.columns if c not in ("text", "n_chars"))
