@@ -180,3 +180,27 @@ def label_by_intervals(
     return at.join(right, match, "left").select(
         *keep, F.when(F.col("_lo").isNotNull(), F.lit(label)).otherwise(F.lit(0)).cast("int").alias(out)
     )
+
+
+def label_by_sweep(flows: DataFrame, intervals: DataFrame, ts: str, by: Sequence[str] = (), label: int = DHCP, out: str = "label") -> DataFrame:
+    """JOI2 without buckets: records and interval starts stand on one axis, and each record looks back at the furthest end.
+
+    A record is inside some closed interval if the largest end of all starts up to it is not before it. That is a running
+    maximum, taken in slices, so neither many intervals at one time nor very long ones cost more than their own rows, and
+    nothing is repeated, merged or broadcast. Intervals of a null key hold for nothing; records without a time or key get 0.
+    """
+    keys = [f"_by{i}" for i in range(len(by))]
+    named = [F.col(c).alias(k) for c, k in zip(by, keys)]
+    kept = F.struct(*[F.col(f"`{c}`") for c in flows.columns if c != out])
+    rows = flows.select(*named, _axis(flows, ts).alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(dict(intervals.select(_axis(intervals, "end").alias("e")).dtypes)["e"]).alias("_end"), kept.alias("_row"))
+    spans = intervals.where(F.col("end") >= F.col("start"))
+    for c in by:
+        spans = spans.where(F.col(c).isNotNull())
+    kind = rows.schema["_row"].dataType
+    starts = spans.select(*named, _axis(intervals, "start").alias("_t"), F.lit(0).alias("_kind"), _axis(intervals, "end").alias("_end"), F.lit(None).cast(kind).alias("_row"))
+    axis = starts.unionByName(rows.where(F.col("_t").isNotNull()))
+    sliced = quantile_slice(axis, "_t", bits=8 if by else SLICE_BITS)
+    seen = running(sliced, {"_until": "_end"}, order=["_t", "_kind"], by=keys, func=F.max).where("_kind = 1")
+    inside = seen.select("_row", F.when(F.col("_until") >= F.col("_t"), F.lit(label)).otherwise(F.lit(0)).cast("int").alias(out))
+    timeless = rows.where(F.col("_t").isNull()).select("_row", F.lit(0).cast("int").alias(out))
+    return inside.unionByName(timeless).select("_row.*", out)

@@ -9,7 +9,7 @@ from ..config import Settings
 from ..functions.columns import add_aliases, first_present, named, to_instant
 from ..operators.features import device_column, dhcp_features, dns_features, flow_features, window_aggregates
 from ..operators.fuse import fuse
-from ..operators.intervals import event_intervals, label_by_intervals
+from ..operators.intervals import event_intervals, label_by_sweep
 from ..schema import DATASET_ALIASES, LABEL_TIME_CANDIDATES
 from ..sources import logs
 
@@ -39,9 +39,9 @@ def label_flows(flows: DataFrame, intervals: DataFrame) -> DataFrame:
     if name is None:
         return flows.withColumn("label", F.lit(0))
     if flows.schema[name].dataType.simpleString() == "double":
-        return label_by_intervals(flows, intervals, name)
+        return label_by_sweep(flows, intervals, name)
     seconds = F.unix_micros(to_instant(flows, name)) / F.lit(1e6)
-    return label_by_intervals(flows.withColumn("unix_timestamp", seconds), intervals, "unix_timestamp")
+    return label_by_sweep(flows.withColumn("unix_timestamp", seconds), intervals, "unix_timestamp")
 
 
 def dataset_flows(spark: SparkSession, folder: str, events: str, max_files: int | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions.times import bucket_of, floor_to
 from ..operators import fuse as fusion
 from ..operators import project as prj
 from ..operators import summary
-from ..operators.intervals import label_by_intervals, merge_intervals, pair_markers
+from ..operators.intervals import label_by_sweep, merge_intervals, pair_markers
 from .features import EVENT_DAY, events
 from .registry import DAY, nudged, query, rounded, table
 
@@ -215,7 +215,7 @@ FROM events v"""
 
 def labelled_events(spark, sf):
     flows = events(spark, sf).select("event_id", "user_id", "ts")
-    return label_by_intervals(flows, user_intervals(spark, sf), "ts", by=["user_id"], bucket_seconds=DAY).drop("ts")
+    return label_by_sweep(flows, user_intervals(spark, sf), "ts", by=["user_id"]).drop("ts")
 
 
 @query(f"WITH {PER_USER} {LABELLED_SQL.format(match='iv.user_id = v.user_id AND')}")
@@ -235,7 +235,7 @@ def joi2_shared_intervals(spark, sf):
     orders = table(spark, sf, "orders").select(
         "o_orderkey", F.expr("o_orderdate + INTERVAL '9000' DAY - INTERVAL '15' YEAR").alias("ts")
     )
-    return label_by_intervals(orders, spans, "ts").drop("ts")
+    return label_by_sweep(orders, spans, "ts").drop("ts")
 
 
 @query(f"""WITH {PER_USER}, l AS ({LABELLED_SQL.format(match='iv.user_id = v.user_id AND')})

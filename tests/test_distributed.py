@@ -294,3 +294,31 @@ def test_null_keys_are_keys(spark):
     assert weighted.count() == 20 and weighted.where("label IS NULL AND weight IS NOT NULL").count() == 0
     assert balance.repeated_undersample(df, "key").where("label IS NULL").count() == 0
     assert balance.undersample(df, "key").groupBy("label").count().select("count").distinct().count() == 1
+
+
+def test_sweep_labels_as_plain_loops(spark):
+    from lanlore.operators.intervals import label_by_sweep
+
+    rng = random.Random(8)
+    spans = [(rng.choice(["a", "b", None]), s, s + rng.choice([0, 3, 40])) for s in (rng.randint(0, 1000) for _ in range(400))] + [("a", 5, 2), ("b", 900, 10**9)]
+    flows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice([None, *[rng.randint(0, 1200)] * 20]), -1) for i in range(1500)]
+    f = spark.createDataFrame(flows, "id int, dev string, ts long, label int").repartition(5)
+    iv = spark.createDataFrame(spans, "dev string, start long, end long")
+    for by in (["dev"], []):
+        got = {r["id"]: (r["dev"], r["ts"], r["label"]) for r in label_by_sweep(f, iv, "ts", by).collect()}
+        want = {i: (d, t, 2 if t is not None and any(s <= t <= e and (not by or (d is not None and d == k)) for k, s, e in spans) else 0) for i, d, t, _ in flows}
+        assert got == want
+
+
+def test_each_tree_sees_the_rows_of_its_smallest_hashes(spark):
+    import numpy as np
+
+    from lanlore.learn import isolation
+
+    rows = spark.range(3000).select(F.col("id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("features"))
+    hashes = np.array([r[0] for r in rows.orderBy("id").select(F.xxhash64("id", F.lit(7))).collect()], np.int64).view(np.uint64)
+    for parts in (1, 6):
+        got = {}
+        for r in isolation.draw_samples(rows.repartition(parts), "id", "features", 5, 40, 7).collect():
+            got.setdefault(r["tree"], set()).add(int(r["x"][0]))
+        assert got == {t: set(np.argsort(isolation._mixed(hashes, t))[:40].tolist()) for t in range(5)}
