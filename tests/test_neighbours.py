@@ -36,3 +36,28 @@ def test_a_vector_without_numbers_hides_no_neighbours(spark):
     df = spark.createDataFrame(data, "id long, features array<double>")
     got = {r["id"]: [n["id"] for n in r["neighbors"]] for r in knn.nearest(df, df, 2).collect()}
     assert got[0] == [1, 2] and all(got[i] == [i - 1, i + 1] for i in range(1, 19))
+
+
+def test_true_pairs_are_found_eight_at_a_time():
+    for shape in ((3, 5), (1, 7), (8, 8), (512, 1001), (4, 0)):
+        for share in (0.0, 0.01, 1.0):
+            hit = RNG.random(shape) < share
+            assert all(np.array_equal(a, b) for a, b in zip(knn.pairs_of(hit), np.nonzero(hit)))
+
+
+def test_limits_come_from_a_few_folded_columns():
+    half = RNG.normal(size=(40, 1001)).astype(np.float32)
+    for k in (1, 4, 300):
+        few = knn.folded(half, k)
+        assert few.shape[1] >= k and (np.partition(few, k - 1, axis=1)[:, k - 1] >= np.partition(half, k - 1, axis=1)[:, k - 1]).all()
+    assert knn.folded(half, 4).shape[1] < 2 * knn.FOLDED
+
+
+def test_small_blocks_try_all_their_leaves(monkeypatch):
+    """A limit from one leaf of eight would leave eight times as many pairs to measure."""
+    x = RNG.normal(size=(6400, 64))
+    pairing = knn.Pairing(x[:512], x)
+    measured, real = [], knn.Pairing.exact
+    monkeypatch.setattr(knn.Pairing, "exact", lambda self, a, b: measured.append(len(a)) or real(self, a, b))
+    found = sum(len(a) for a, _, _ in pairing.best(4, np.arange(len(x))))
+    assert found == 4 * 512 and sum(measured) < 6 * 512
