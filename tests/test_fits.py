@@ -5,7 +5,7 @@ from pyspark.ml.classification import RandomForestClassificationModel, RandomFor
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from lanlore.learn import classify, search
+from lanlore.learn import classify, clusters, search
 
 from .conftest import SF
 
@@ -40,3 +40,14 @@ def test_classes_are_boosted_side_by_side(spark, rows, monkeypatch):
     monkeypatch.setattr(classify, "in_threads", lambda s, work, items, threads: seen.append((list(items), threads)) or real(s, work, items, threads))
     model = classify.boosted(rows, ["x0", "x1", "x2", "x3"], rounds=2, depth=2)
     assert seen == [([0, 1, 2], 3)] and model.score(rows).count() == rows.count()
+
+
+def test_starts_of_k_means_read_a_written_table_side_by_side(spark, monkeypatch):
+    points = spark.range(300).select(F.array(F.pmod("id", F.lit(3)) * 10.0 + F.rand(1), F.rand(2)).alias("scaled"))
+    seen, real = [], clusters.KMeans.fit
+    monkeypatch.setattr(clusters.KMeans, "fit", lambda self, data: seen.append((data.storageLevel.useMemory, self.getSeed())) or real(self, data))
+    at_once = []
+    monkeypatch.setattr(clusters, "in_threads", lambda s, work, items, threads: at_once.append(threads) or search.in_threads(s, work, items, threads))
+    model = clusters.kmeans(points, k=3, starts=5)
+    assert sorted(seen) == [(False, 42 + i) for i in range(5)] and at_once == [clusters.STARTS_AT_ONCE]
+    assert sorted(round(c[0]) // 10 for c in clusters.centres(model)) == [0, 1, 2]
