@@ -110,3 +110,17 @@ def test_reports_of_a_stream(spark, windows, models, tmp_path):
     scoring.score_stream(spark.readStream.schema(windows.drop("label").schema).parquet(folder), models, out, SHORT)
     report = spark.read.parquet(out)
     assert {"device_id", "time_window", "misconfig_label", "explanation"} <= set(report.columns) and report.count() > 0
+
+
+def test_halves_of_a_stream_are_many_files_and_two_batches(spark, windows, tmp_path):
+    from lanlore.queries.whole import write_halves
+
+    rows, folder = windows.drop("label"), str(tmp_path / "in")
+    assert write_halves(rows, str(tmp_path / "one")) == 1
+    files = write_halves(rows, folder, rows_per_task=50)
+    assert files == 3 and len([f for f in os.listdir(folder) if f.endswith(".parquet")]) == 2 * files
+    seen = []
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
+    note = lambda batch, _: seen.append(tuple(batch.agg(F.count("*"), F.min("time_window"), F.max("time_window")).first()))
+    stream.writeStream.foreachBatch(note).option("checkpointLocation", str(tmp_path / "offsets")).trigger(availableNow=True).start().awaitTermination()
+    assert [n for n, *_ in seen] == [180, 180] and seen[0][2] < seen[1][1]
