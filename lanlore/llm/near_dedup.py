@@ -215,10 +215,10 @@ def _between(shared: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataF
 
     large = members.where(F.col("all") > SMALL).join(sets, "node")
     across, down = F.ceil(F.col("few") / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
-    own = F.xxhash64("node")
+    deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")  # noqa: E731  of the same type as `every`: else the two sides of a block are hashed to different tasks
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = large.where(F.col("label") != F.col("major")).select("key", F.pmod(own, across).alias("i"), every(down).alias("j"), "node", "label", "set")
-    right = large.select("key", every(across).alias("i"), F.pmod(own, down).alias("j"), "node", "label", "set")
+    left = large.where(F.col("label") != F.col("major")).select("key", deal(across).alias("i"), every(down).alias("j"), "node", "label", "set")
+    right = large.select("key", every(across).alias("i"), deal(down).alias("j"), "node", "label", "set")
     kind = dict(members.dtypes)["node"]
     names = ["key", "i", "j", "node", "label", "set"]
     blocks = left.toDF(*names).groupBy("key", "i", "j").cogroup(right.toDF(*names).groupBy("key", "i", "j"))

@@ -1,6 +1,7 @@
 """The methods against plain versions of what they compute."""
 
 import dataclasses
+import itertools
 import random
 import re
 import zlib
@@ -299,6 +300,36 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     assert differences(spark, connect(SF), QUERIES["op9_minhash_near_dedup"], ORACLE["op9_minhash_near_dedup"], SF) is None
 
 
+def test_blocks_lose_no_link_when_dealt_to_many_tasks(spark):
+    draw = random.Random(5)
+    texts = []
+    for group in range(6):
+        for _ in range(100):
+            words = [f"w{group}x{k}" for k in range(60)]
+            for at in draw.sample(range(60), draw.randint(1, 5)):
+                words[at] = f"z{draw.randrange(10**9)}"
+            texts.append(" ".join(words))
+    sets = [set(itertools.pairwise(t.split())) for t in texts]
+    want = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            common = len(sets[a] & sets[b])
+            if want[a] != want[b] and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                low, high = sorted((want[a], want[b]))
+                want = [low if x == high else x for x in want]
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=2)
+        got = {r["doc"]: r["component"] for r in found.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == dict(enumerate(want))
+
+
 # 10. Language model
 
 
