@@ -58,3 +58,37 @@ def test_other_parameters_are_left_to_sparks_fits(ready):
     grid = {"maxIter": [1], "maxDepth": [2]}
     assert boosting.covers(ready, booster(), grid)
     assert not boosting.covers(ready, booster().setMinInstancesPerNode(5), grid) and not boosting.covers(ready, booster(), {"maxIter": [1], "maxBins": [4, 8]})
+
+
+def test_whole_boosters_in_tasks_score_as_levels_of_all_do(ready, monkeypatch):
+    table = search.in_parts(ready, 200)
+    points = search.grid_points({"maxIter": [1, 3], "maxDepth": [3], "stepSize": [0.3], "subsamplingRate": [0.8, 1.0]})
+    whole = boosting.held_out_counts(table, booster(), points, 2, "label_index", "fold")
+    monkeypatch.setattr(boosting, "ROWS_OF_A_TASK", 100)
+    assert sorted(whole) == sorted(boosting.held_out_counts(table, booster(), points, 2, "label_index", "fold"))
+
+
+def test_a_table_that_fits_a_task_is_searched_without_a_job_for_each_level(ready, monkeypatch):
+    monkeypatch.setattr(boosting, "_level_by_level", lambda *_: pytest.fail("a job for each level"))
+    points = search.grid_points({"maxIter": [1, 2], "maxDepth": [3]})
+    assert sum(n for *_, n, _ in boosting.held_out_counts(search.in_parts(ready), booster(), points, 2, "label_index", "fold")) == 2 * ready.count()
+
+
+def test_a_booster_grown_in_a_task_is_sparks(ready, monkeypatch):
+    table, one = search.in_parts(ready, 1000), booster().setMaxIter(4).setMaxDepth(4).setStepSize(0.3)
+    want = one.fit(table)
+    monkeypatch.setattr(GBTClassifier, "fit", lambda *_: pytest.fail("Spark's fit was asked for"))
+    got = search.grow_booster(table, one)
+    splits = [[line for line in m.toDebugString.split("\n")[1:] if "Predict" not in line] for m in (got, want)]
+    assert splits[0] == splits[1] and got.treeWeights == want.treeWeights
+    assert got.getMaxDepth() == 4 and got.numFeatures == 12 and np.allclose(got.featureImportances.toArray(), want.featureImportances.toArray())
+    both = [[tuple(r.rawPrediction) for r in m.transform(table).collect()] for m in (got, want)]
+    assert np.allclose(*both)
+
+
+def test_a_booster_with_row_samples_is_left_to_spark_where_it_fits_no_task(ready, monkeypatch):
+    monkeypatch.setattr(boosting, "ROWS_OF_A_TASK", 100)
+    assert boosting.fit(ready, booster()) is None
+    monkeypatch.undo()
+    some = search.grow_booster(search.in_parts(ready), booster().setMaxIter(3).setMaxDepth(2).setSubsamplingRate(0.8))
+    assert some.getNumTrees == 3 and some.treeWeights == [1.0, 0.1, 0.1]
