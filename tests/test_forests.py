@@ -57,3 +57,41 @@ def test_bags_and_chosen_features_are_drawn_for_each_tree(ready):  # noqa: F811
     assert (one != two).any() and abs(one.mean() - 1) < 0.1 and abs((one == 0).mean() - np.exp(-1)) < 0.03
     chosen = forests._subsets(plan, 64, 500, 0, 0)
     assert chosen.shape == (500, 8) and all(len(set(c)) == 8 for c in chosen.tolist()) and len(np.unique(chosen)) == 64
+
+
+def test_a_tree_grown_in_a_task_is_sparks(ready):  # noqa: F811
+    table = search.in_parts(ready, 200).withColumn("label_index", F.col("label_index") + 2 * (F.abs(F.hash("features")) % 2))
+    one = forest(bootstrap=False, numTrees=1, maxDepth=5, minInstancesPerNode=3)
+    want, got = one.fit(table), search.grow_forest(table, one)
+    assert got.numClasses == want.numClasses == 4 and got.getNumTrees == 1 and got.getMaxDepth() == 5
+    assert got.toDebugString.split("\n")[1:] == want.toDebugString.split("\n")[1:]
+    assert np.allclose(got.featureImportances.toArray(), want.featureImportances.toArray())
+    both = [[tuple(r.probability) for r in m.transform(table).collect()] for m in (got, want)]
+    assert np.allclose(*both)
+
+
+def test_a_forest_grown_in_tasks_sends_rows_once_a_task(ready, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda *_: pytest.fail("Spark's fit was asked for"))
+    monkeypatch.setattr(forests, "_pieces", lambda *_: pytest.fail("rows were dealt out tree by tree"))
+    table = search.in_parts(ready, 200)
+    model = search.grow_forest(table, forest(numTrees=40, maxDepth=6))
+    assert model.getNumTrees == 40 and len({t.numNodes for t in model.trees}) > 1
+    assert model.transform(table).where("prediction = label_index").count() > 0.8 * table.count()
+    points = search.grid_points({"numTrees": [10, 20], "maxDepth": [3, 30]})
+    assert sum(n for *_, n, _ in forests.held_out_counts(table, forest(), points, 2, "label_index", "fold")) == 4 * table.count()
+
+
+def test_nodes_searched_a_few_at_a_time_split_the_same(ready, monkeypatch):  # noqa: F811
+    table = search.in_parts(ready, 1000)
+    one = forest(numTrees=5, maxDepth=8)
+    whole = search.grow_forest(table, one).toDebugString
+    monkeypatch.setattr(forests, "CELLS", 1)
+    assert search.grow_forest(table, one).toDebugString.split("\n")[1:] == whole.split("\n")[1:]
+
+
+def test_missing_numbers_and_a_constant_feature_make_a_leaf(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    table = spark.range(40).select(array_to_vector(F.array(F.lit(float("nan")), F.lit(1.0))).alias("features"), (F.col("id") % 2).cast("double").alias("label_index"), F.lit(1.0).alias("weight"))
+    model = search.grow_forest(table, forest(numTrees=3))
+    assert [t.numNodes for t in model.trees] == [1, 1, 1]
