@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -89,9 +89,16 @@ def test_nodes_searched_a_few_at_a_time_split_the_same(ready, monkeypatch):  # n
     assert search.grow_forest(table, one).toDebugString.split("\n")[1:] == whole.split("\n")[1:]
 
 
-def test_missing_numbers_and_a_constant_feature_make_a_leaf(spark):
+def test_constant_features_make_a_leaf_and_missing_numbers_are_refused_as_by_spark(spark):
     from pyspark.ml.functions import array_to_vector
 
-    table = spark.range(40).select(array_to_vector(F.array(F.lit(float("nan")), F.lit(1.0))).alias("features"), (F.col("id") % 2).cast("double").alias("label_index"), F.lit(1.0).alias("weight"))
-    model = search.grow_forest(table, forest(numTrees=3))
-    assert [t.numNodes for t in model.trees] == [1, 1, 1]
+    def table(number):
+        vector = array_to_vector(F.array(F.lit(2.0), F.lit(number)))
+        return spark.range(40).select(vector.alias("features"), (F.col("id") % 2).cast("double").alias("label_index"), F.lit(1.0).alias("weight"))
+
+    assert [t.numNodes for t in search.grow_forest(table(1.0), forest(numTrees=3)).trees] == [1, 1, 1]
+    for number in (float("nan"), float("inf")):
+        with pytest.raises(Exception, match="MUST NOT be NaN or Infinity"):
+            search.grow_forest(table(number), forest(numTrees=3))
+        with pytest.raises(Exception, match="MUST NOT be NaN or Infinity"):
+            search.grow_booster(table(number), GBTClassifier(featuresCol="features", labelCol="label_index", weightCol="weight", maxIter=2))
