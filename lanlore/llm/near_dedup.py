@@ -173,7 +173,10 @@ def _labelled(df: DataFrame, labels: DataFrame, node: str, out: str) -> DataFram
 
 
 def _overlaps(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
-    """Linked pairs of one block: every left set against all right sets, through an inverted index of the right ones."""
+    """Links of one block that join components: every left set against all right sets, through an inverted index of the right ones.
+
+    Nodes of one label are joined already, so as many links as join all labels that are linked here say the same as all of them.
+    """
     sets = right.column("set").combine_chunks()
     offsets = np.asarray(sets.offsets).astype(np.int64)
     values = np.asarray(sets.values)[offsets[0] : offsets[-1]]
@@ -181,17 +184,29 @@ def _overlaps(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
     owners = np.repeat(np.arange(len(sizes)), sizes)
     order = np.argsort(values, kind="stable")
     values, owners = values[order], owners[order]
-    nodes, labels = np.asarray(right.column("node")), np.asarray(right.column("label"))
+    nodes = np.asarray(right.column("node"))
+    own = pa.chunked_array(left.column("label").chunks + right.column("label").chunks).combine_chunks().dictionary_encode().indices.to_numpy()
+    own, labels = own[: left.num_rows], own[left.num_rows :]
+    above = list(range(1 + max(own.max(initial=-1), labels.max(initial=-1))))
+
+    def top(label: int) -> int:
+        while above[label] != label:
+            above[label] = label = above[above[label]]
+        return label
+
     one, two = [], []
-    for node, label, members in zip(left.column("node").to_pylist(), left.column("label").to_pylist(), left.column("set")):
+    for node, label, members in zip(left.column("node").to_pylist(), own.tolist(), left.column("set")):
         mine = np.asarray(members.values)
         lo, hi = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
         counts = hi - lo
         at = np.repeat(lo - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         common = np.bincount(owners[at], minlength=len(sizes))
         linked = np.flatnonzero((labels != label) & (100 * common >= percent * (len(mine) + sizes - common)))
-        one += [node] * len(linked)
-        two += nodes[linked].tolist()
+        for other, first in zip(*(x.tolist() for x in np.unique(labels[linked], return_index=True))):
+            if top(label) != top(other):
+                above[top(label)] = top(other)
+                one.append(node)
+                two.append(nodes[linked[first]])
     return pa.table({"a": pa.array(one, left.schema.field("node").type), "b": pa.array(two, left.schema.field("node").type)})
 
 
@@ -199,7 +214,7 @@ def _between(shared: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataF
     """Linked pairs (a, b) of one bucket and different components. A bucket's largest component is only ever the other side.
 
     Pairs of small buckets are held against the estimate first. A large bucket is cut into blocks on both sides, and each
-    pair of blocks is one small group whose sets are counted against each other; only links come out.
+    pair of blocks is one small group whose sets are counted against each other; only links that join components come out.
     """
     members = _labelled(shared.select("key", "node"), labels, "node", "label")
     parts = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))

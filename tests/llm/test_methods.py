@@ -330,6 +330,18 @@ def test_blocks_lose_no_link_when_dealt_to_many_tasks(spark):
     assert got == dict(enumerate(want))
 
 
+def test_a_block_gives_no_more_links_than_join_its_components():
+    sets = [[*range(100), 1000 + k] for k in range(30)] + [[*range(500, 600)], [*range(500, 601)]]
+    block = pa.table({"node": pa.array([f"d{k:02}" for k in range(32)]), "label": pa.array([f"d{k // 2 * 2:02}" if k < 30 else f"d{k}" for k in range(32)]), "set": pa.array(sets, pa.list_(pa.int64()))})
+    links = near_dedup._overlaps(block, block, 80).to_pylist()
+    group = {n: n for n in block.column("label").to_pylist()}
+    of = dict(zip(block.column("node").to_pylist(), block.column("label").to_pylist()))
+    for link in links:
+        a, b = group[of[link["a"]]], group[of[link["b"]]]
+        group = {k: a if v == b else v for k, v in group.items()}
+    assert len(links) == 15 and len(set(group.values())) == 2
+
+
 # 10. Language model
 
 
